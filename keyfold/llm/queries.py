@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, packing, token_file
 from ._tables import documents
 from .near_dedup import near_duplicates
+from .quality_rules import quality
+
+TOKENIZERS = "/opt/tokenizers"
 
 WORD = r"[^\x20\x09-\x0D]+"
 FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def vocabulary(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -40,6 +48,22 @@ FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN low USING (doc_id)
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir))
+
+
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
