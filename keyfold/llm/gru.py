@@ -54,7 +54,7 @@ def _states(p: Params, gx: np.ndarray, h: np.ndarray, keep: list | None = None)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
+    x = np.minimum(x, 80)  # far beyond any trained logit; keeps exp() finite without a row maximum
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
@@ -166,7 +166,9 @@ def train(p: Params, bounds: np.ndarray, docs: list[np.ndarray], end: int, rows:
             flat = dgx.reshape(-1, 3 * hidden)
             g["b"] += flat.sum(axis=0)
             g["Wx"] += xe.reshape(-1, xe.shape[-1]).T @ flat
-            np.add.at(g["E"], x.ravel(), flat @ p["Wx"].T)
+            order = np.argsort(x, axis=None, kind="stable")
+            used, begin = np.unique(x.ravel()[order], return_index=True)
+            g["E"][used] = np.add.reduceat((flat @ p["Wx"].T)[order], begin, axis=0)
             n = max(1, int(at.sum()))
             moments[2] += 1
             fix = np.sqrt(1 - 0.999 ** moments[2]) / (1 - 0.9 ** moments[2])

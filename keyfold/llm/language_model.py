@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import gru
 from ._tables import Scratch, texts
-from ._text import list_array, mix, slices, words
+from ._text import list_array, slices, words
 
 #: Stands among the word hashes for the end of a document.
 END = np.int64(-7_046_029_254_386_353_131)
@@ -82,7 +82,7 @@ class Vocabulary:
         return np.where(hit, self.ids[at], self.unknown), np.where(hit, self.c[at], -1)
 
 
-def _trainer(vocabulary: Vocabulary, shape: gru.Params, share: int, turn: int, passes: int):
+def _trainer(vocabulary: Vocabulary, shape: gru.Params, passes: int):
     def run(batches):
         p, moments, n = {k: v.copy() for k, v in shape.items()}, None, 0
         for batch in batches:
@@ -90,8 +90,6 @@ def _trainer(vocabulary: Vocabulary, shape: gru.Params, share: int, turn: int, p
                 tokens, first = _tokens(buf, offsets)
                 ids, _ = vocabulary.find(tokens)
                 docs = [ids[a:b] for a, b in zip(first[:-1], first[1:])]
-                if share > 1:
-                    docs = [d for d, m in zip(docs, mix(np.add.reduceat(tokens.view(np.uint64), first[:-1]) + np.uint64(turn))) if m % np.uint64(share) == 0]
                 n += sum(map(len, docs))
                 for _ in range(passes):
                     moments = gru.train(p, vocabulary.bounds, docs, vocabulary.end, moments=moments) if docs else moments
@@ -133,20 +131,20 @@ def fit(docs: DataFrame, scratch: Scratch, frequent: int, modelled: int, n_class
     if not v:
         return vocabulary, p, counts
     some = docs.orderBy(F.xxhash64("doc_id")).limit(first_docs).select("text").coalesce(1)
-    run, schema = _trainer(vocabulary, p, 1, 0, 2)
+    run, schema = _trainer(vocabulary, p, 2)
     row = some.mapInArrow(run, schema).first()
     p = gru.unpack(bytes(row["model"]), p) if row else p
-    run, schema = _trainer(vocabulary, p, share, 1, 1)
-    models = scratch.save(docs.select("text").mapInArrow(run, schema), "models")
+    run, schema = _trainer(vocabulary, p, 1)
+    models = scratch.save(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInArrow(run, schema), "models")
     parts = models.agg(F.max("part")).first()[0]
     mean = _average(models, 16, scratch, parts + 1) if parts is not None else None
     return vocabulary, gru.unpack(mean, p) if mean else p, counts
 
 
-def score(docs: DataFrame, frequent: int = 100_000, modelled: int = 2000, n_classes: int = 40, width: int = 16, hidden: int = 32, first_docs: int = 400, share: int = 16) -> DataFrame:
+def score(docs: DataFrame, frequent: int = 100_000, modelled: int = 1500, n_classes: int = 36, width: int = 16, hidden: int = 24, first_docs: int = 400, share: int = 32) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
-    Counts cover every training document; one in `share` of them (by a hash of its text) also
+    Counts cover every training document; one in `share` of them (by a hash of doc_id) also
     gives gradients.  Null and empty texts are one end token.  A null doc_id is not held out;
     repeated rows count and are scored each; other columns are ignored.  With no training
     documents nothing is known and the scores are uniform.  An empty table gives an empty result.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, language_model, mixing, packing, secrets, token_file, toxicity
+from . import fingerprint, language_model, mixing, packing, secrets, substring_dedup, token_file, toxicity
 from ._tables import documents
 from .near_dedup import near_duplicates
 from .quality_rules import quality
@@ -56,6 +56,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(documents(spark, sf_dir))
 
