@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._tables import Scratch, texts
 from ._text import CONTINUATION, SPACE, mix, prefix_hash, slices, span_hash, words
@@ -155,26 +156,63 @@ def fit(patterns: np.ndarray, counts: np.ndarray, votes: list[int], strength: fl
     return float(share), table
 
 
-def quality(docs: DataFrame, least_words: int = 10, repeat_percent: int = 20, posterior: float = 0.5) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, p_good, kept.
+def _base_failed(least_words: int, repeat_percent: int) -> Column:
+    return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
-    Null texts count as empty: no words, base_failed, not kept.  A null doc_id, repeated rows
-    and further columns change nothing; each row is judged by its own text.  An empty table
-    gives an empty result.
-    """
-    scratch = Scratch(docs.sparkSession, "quality")
-    stats = texts(docs).mapInArrow(_stats, "doc_id long, " + ", ".join(f"{k} long" for k in STATS))
+
+def _fitted(voted: DataFrame) -> Column:
+    """Posterior probability of being good over v_ columns, fitted to all rows."""
     votes = rules()
-    base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    voted = stats.select("doc_id", *STATS[:5], base.alias("base_failed"), *(_vote(*v).cast("tinyint").alias(f"v_{k}") for k, v in votes.items()))
-    voted = scratch.save(voted, "votes")
     names = [f"v_{k}" for k in votes]
     seen = voted.groupBy(*names).count().collect()  # at most 2 ** len(votes) rows
     patterns = np.array([[r[k] for k in names] for r in seen], np.int64).reshape(len(seen), len(names))
-    share, table = fit(patterns, np.array([r["count"] for r in seen], float), [v for v, _ in votes.values()])
+    order = np.lexsort(patterns.T)
+    counts = np.array([r["count"] for r in seen], float)
+    share, table = fit(patterns[order], counts[order], [v for v, _ in votes.values()])
     llr = np.log(np.maximum(table[:, 1, :], 1e-12)) - np.log(np.maximum(table[:, 0, :], 1e-12))
     odds = F.lit(float(np.log(share) - np.log(1 - share)))
     for k, name in enumerate(names):
         odds = odds + F.element_at(F.array(*(F.lit(float(x)) for x in llr[k])), F.col(name).cast("int") + 1)
-    p = 1 / (1 + F.exp(-odds))
+    return 1 / (1 + F.exp(-odds))
+
+
+def _votes() -> list[Column]:
+    return [_vote(*v).cast("tinyint").alias(f"v_{k}") for k, v in rules().items()]
+
+
+_SCHEMA = "doc_id long, " + ", ".join(f"{k} long" for k in STATS)
+
+
+def quality(docs: DataFrame, least_words: int = 10, repeat_percent: int = 20, posterior: float = 0.5) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, p_good, kept.
+
+    Null texts count as empty: no words, base_failed, not kept.  A null doc_id, repeated rows
+    and further columns change nothing; each row is judged by its own text.  An empty table
+    gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    stats = texts(docs).mapInArrow(_stats, _SCHEMA)
+    voted = scratch.save(stats.select("doc_id", *STATS[:5], _base_failed(least_words, repeat_percent).alias("base_failed"), *_votes()), "votes")
+    p = _fitted(voted)
     return voted.select("doc_id", *STATS[:5], "base_failed", p.alias("p_good"), (~F.col("base_failed") & (p >= posterior)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, least_words: int = 10, repeat_percent: int = 20, posterior: float = 0.5) -> DataFrame:
+    """The rows of docs that quality() keeps, with all their columns; nothing is shuffled but vote counts."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    voted = scratch.save(texts(docs).mapInArrow(_stats, _SCHEMA).select(*_votes()), "votes")
+    p = _fitted(voted)
+    scratch.drop("votes")
+
+    def run(batches):
+        for batch in batches:
+            text = batch.schema.get_field_index("text")
+            for i, j, buf, offsets in slices(batch.column(text)):
+                s = text_stats(buf, offsets)
+                row = pa.StructArray.from_arrays([c.slice(i, j - i) for c in batch.columns], names=batch.schema.names)
+                yield pa.RecordBatch.from_arrays([row, *(pa.array(s[k].astype(np.int64)) for k in STATS)], names=["document", *STATS])
+
+    schema = T.StructType([T.StructField("document", docs.schema)] + [T.StructField(k, T.LongType()) for k in STATS])
+    stats = docs.mapInArrow(run, schema)
+    judged = stats.select("document", _base_failed(least_words, repeat_percent).alias("failed"), *_votes())
+    return judged.where(~F.col("failed") & (p >= posterior)).select("document.*")
