@@ -10,42 +10,68 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _CUT = re.compile(r"(?<=\S) ")
 _UNSAFE = re.compile(r"\s ")
+_SPACE = re.compile(r"\s")
 _made: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Pieces kept are bounded by most; beyond it the store starts anew."""
+    """Keeps up to `most` pieces in two generations: when the young one is full it becomes the old one, and what is met again moves back."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, new: list[str], store: dict[str, bytes], lead: str) -> None:
         for a in range(0, len(new), 2000):
             part = new[a : a + 2000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast([lead + x for x in part], add_special_tokens=False)):
-                store[piece] = b"".join(x.to_bytes(4, "little") for x in e.ids)
+                ids = e.ids
+                store[piece] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn_joined(self, new: list[str], block: int = 500) -> None:
+        """Pieces without white space inside are encoded many at a time, joined as in a text, and told apart by offsets."""
+        plain = [p for p in new if p and not _SPACE.search(p)]
+        self._learn([p for p in new if not p or _SPACE.search(p)], self.young, " ")
+        for a in range(0, len(plain), block):
+            part = plain[a : a + block]
+            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in part])[:-1]])
+            at = np.array([o[0] for o in e.offsets], np.int64)
+            cuts = np.searchsorted(np.searchsorted(starts, at, "right") - 1, np.arange(len(part) + 1)) * 4
+            raw = np.array(e.ids, "<u4").tobytes()
+            for k, piece in enumerate(part):
+                self.young[piece] = raw[cuts[k] : cuts[k + 1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null texts have none."""
         cut = [(_CUT.split(t) if _UNSAFE.search(t) else t.split(" ")) if t else [""] for t in texts]
-        if len(self.first) + len(self.later) > self.most:
+        if len(self.first) > self.most // 8:
             self.first.clear()
-            self.later.clear()
-        need_first = {c[0] for c in cut} - self.first.keys()
-        need_later = set().union(*(c[1:] for c in cut)) - self.later.keys()
-        self._learn(list(need_first), self.first, "")
-        self._learn(list(need_later), self.later, " ")
-        get = self.later.__getitem__
+        if len(self.young) > self.most // 2:
+            self.young, self.old = {}, self.young
+        self._learn(list({c[0] for c in cut} - self.first.keys()), self.first, "")
+        new = []
+        for piece in set().union(*(c[1:] for c in cut)) - self.young.keys():
+            ids = self.old.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                self.young[piece] = ids
+        self._learn_joined(new)
+        get = self.young.__getitem__
         return [self.first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
 
 
