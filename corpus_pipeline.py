@@ -21,8 +21,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays (with rows that repeat it)."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """Of each group of near-duplicates (similarity 0.8 or more) the document with the smallest doc_id stays (with rows that repeat it)."""
+    gone = near_dedup.near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
 
 
