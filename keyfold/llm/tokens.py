@@ -1,78 +1,123 @@
 """Token ids by the tokenizers library, with each chunk of text encoded once.
 
 Both supported pre-tokenizers never let a token run across a space that follows a character
-other than white space, so a text cut before such spaces gives the same ids piece by piece.
-Pieces repeat far more than texts do; ids of pieces are kept, as little-endian bytes, and the
-library is asked only for new ones.
+other than white space, nor across a single line end between two such characters, so a text cut
+there gives the same ids piece by piece.  Pieces repeat far more than texts do; ids of pieces
+are kept, as little-endian bytes, and the library is asked only for new ones.  A word of plain
+Latin letters is one pre-token that no normaliser changes but in case, and punctuation after it
+is another, so for these the library's BPE model is asked for the word alone.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
-
-import numpy as np
+import sys
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _CUT = re.compile(r"(?<=\S) ")
 _UNSAFE = re.compile(r"\s ")
-_SPACE = re.compile(r"\s")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)")
+_PROBES = ["a", "The", "house", "Übermäßig", "ñandúÿÀ", "Qzxvkw", "éàç"]
 _made: dict[str, Encoder] = {}
 
 
+def _byte_table() -> dict[int, int]:
+    """Byte-level vocabularies write printable bytes as themselves, the others as 256 and up in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
+
+
+_BYTES = _byte_table()
+
+
+def _symbols(text: str) -> str:
+    return text if text.isascii() and " " not in text else text.encode().decode("latin-1").translate(_BYTES)
+
+
+def _bytes(ids: list[int]) -> bytes:
+    raw = array("I", ids)
+    if sys.byteorder == "big":
+        raw.byteswap()
+    return raw.tobytes()
+
+
+class _Pieces(dict):
+    """Ids by piece, found when first asked for; at most about half of `most` pieces are young, as many old ones are kept beside them."""
+
+    def __init__(self, coder: Encoder, lead: str, most: int):
+        self.coder, self.lead, self.most, self.old = coder, lead, most, {}
+
+    def age(self) -> None:
+        """Between texts: when too many are young, they become the old ones; what is met again moves back."""
+        if len(self) > self.most // 2:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.coder.piece(piece, self)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Keeps up to `most` pieces in two generations: when the young one is full it becomes the old one, and what is met again moves back."""
+    """Ids of whole texts, put together from pieces; about `most` pieces are kept."""
 
     def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self.first: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str], store: dict[str, bytes], lead: str) -> None:
-        for a in range(0, len(new), 2000):
-            part = new[a : a + 2000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast([lead + x for x in part], add_special_tokens=False)):
-                ids = e.ids
-                store[piece] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn_joined(self, new: list[str], block: int = 500) -> None:
-        """Pieces without white space inside are encoded many at a time, joined as in a text, and told apart by offsets."""
-        plain = [p for p in new if p and not _SPACE.search(p)]
-        self._learn([p for p in new if not p or _SPACE.search(p)], self.young, " ")
-        for a in range(0, len(plain), block):
-            part = plain[a : a + block]
-            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
-            starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in part])[:-1]])
-            at = np.array([o[0] for o in e.offsets], np.int64)
-            cuts = np.searchsorted(np.searchsorted(starts, at, "right") - 1, np.arange(len(part) + 1)) * 4
-            raw = np.array(e.ids, "<u4").tobytes()
-            for k, piece in enumerate(part):
-                self.young[piece] = raw[cuts[k] : cuts[k + 1]]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.led = _Pieces(self, " ", most)
+        self.first = _Pieces(self, "", most // 4)
+        self.tails: dict[str, bytes] = {"": b""}
+        self.line_end = self._whole("\n")
+        #: How a word is put to the model, by what stands before it; none if the vocabulary does neither.
+        forms = [lambda word, lead: _symbols(lead + word), lambda word, lead: _symbols(word.lower())]
+        self.form = next((f for f in forms if all(self._model(f(w, lead)) == self._whole(lead + w) for w in _PROBES for lead in ("", " "))), None)
+
+    def _whole(self, text: str) -> bytes:
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _model(self, symbols: str) -> bytes:
+        return _bytes([t.id for t in self.tokenize(symbols)])
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            self.tails[tail] = self._whole(tail)
+        return self.tails[tail]
+
+    def piece(self, piece: str, store: _Pieces) -> bytes:
+        """Ids of a piece that store has not; words and lines within it are looked up on their own."""
+        if self.form is not None:
+            m = _WORD.fullmatch(piece)
+            if m is not None:
+                word, tail = m.groups()
+                return store[word] + self._tail(tail) if tail else self._model(self.form(word, store.lead))
+        if "\n" in piece and _LINES.fullmatch(piece):
+            head, *lines = piece.split("\n")
+            return self.line_end.join([store[head], *map(self.first.__getitem__, lines)])
+        return self._whole(store.lead + piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null texts have none."""
-        cut = [(_CUT.split(t) if _UNSAFE.search(t) else t.split(" ")) if t else [""] for t in texts]
-        if len(self.first) > self.most // 8:
-            self.first.clear()
-        if len(self.young) > self.most // 2:
-            self.young, self.old = {}, self.young
-        self._learn(list({c[0] for c in cut} - self.first.keys()), self.first, "")
-        new = []
-        for piece in set().union(*(c[1:] for c in cut)) - self.young.keys():
-            ids = self.old.get(piece)
-            if ids is None:
-                new.append(piece)
-            else:
-                self.young[piece] = ids
-        self._learn_joined(new)
-        get = self.young.__getitem__
-        return [self.first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
+        first, led, out = self.first.__getitem__, self.led.__getitem__, []
+        for t in texts:
+            if not t:
+                out.append(b"")
+                continue
+            cut = iter(_CUT.split(t) if _UNSAFE.search(t) else t.split(" "))
+            out.append(first(next(cut)) + b"".join(map(led, cut)))
+            self.first.age()
+            self.led.age()
+        return out
 
 
 def encoder(path: str) -> Encoder:
