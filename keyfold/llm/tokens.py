@@ -12,16 +12,17 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
+import struct
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _CUT = re.compile(r"(?<=\S) ")
 _UNSAFE = re.compile(r"\s ")
 _LINES = re.compile(r"\S+(?:\n\S+)+")
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)")
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_TAIL = ".,;:!?#$%&*"
 _PROBES = ["a", "The", "house", "Übermäßig", "ñandúÿÀ", "Qzxvkw", "éàç"]
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _made: dict[str, Encoder] = {}
 
 
@@ -34,15 +35,8 @@ def _byte_table() -> dict[int, int]:
 _BYTES = _byte_table()
 
 
-def _symbols(text: str) -> str:
-    return text if text.isascii() and " " not in text else text.encode().decode("latin-1").translate(_BYTES)
-
-
 def _bytes(ids: list[int]) -> bytes:
-    raw = array("I", ids)
-    if sys.byteorder == "big":
-        raw.byteswap()
-    return raw.tobytes()
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Pieces(dict):
@@ -50,6 +44,7 @@ class _Pieces(dict):
 
     def __init__(self, coder: Encoder, lead: str, most: int):
         self.coder, self.lead, self.most, self.old = coder, lead, most, {}
+        self.symbol = lead.translate(_BYTES)
 
     def age(self) -> None:
         """Between texts: when too many are young, they become the old ones; what is met again moves back."""
@@ -77,15 +72,22 @@ class Encoder:
         self.first = _Pieces(self, "", most // 4)
         self.tails: dict[str, bytes] = {"": b""}
         self.line_end = self._whole("\n")
-        #: How a word is put to the model, by what stands before it; none if the vocabulary does neither.
-        forms = [lambda word, lead: _symbols(lead + word), lambda word, lead: _symbols(word.lower())]
-        self.form = next((f for f in forms if all(self._model(f(w, lead)) == self._whole(lead + w) for w in _PROBES for lead in ("", " "))), None)
+        #: Whether words go to the model in lower case or behind the symbol of the space before them; none if neither gives the library's ids.
+        self.lower = next((x for x in (False, True) if self._agrees(x)), None)
+
+    def _agrees(self, lower: bool) -> bool:
+        self.lower = lower
+        return all(self._word(w, store) == self._whole(store.lead + w) for w in _PROBES for store in (self.led, self.first))
 
     def _whole(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _model(self, symbols: str) -> bytes:
-        return _bytes([t.id for t in self.tokenize(symbols)])
+    def _word(self, word: str, store: _Pieces) -> bytes:
+        if self.lower:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return _bytes([t.id for t in self.tokenize(word if self.lower else store.symbol + word)])
 
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
@@ -96,11 +98,9 @@ class Encoder:
 
     def piece(self, piece: str, store: _Pieces) -> bytes:
         """Ids of a piece that store has not; words and lines within it are looked up on their own."""
-        if self.form is not None:
-            m = _WORD.fullmatch(piece)
-            if m is not None:
-                word, tail = m.groups()
-                return store[word] + self._tail(tail) if tail else self._model(self.form(word, store.lead))
+        word = piece.rstrip(_TAIL)
+        if self.lower is not None and word.isalpha() and (word.isascii() or _WORD.fullmatch(word)):
+            return self._word(word, store) if len(word) == len(piece) else store[word] + self._tail(piece[len(word) :])
         if "\n" in piece and _LINES.fullmatch(piece):
             head, *lines = piece.split("\n")
             return self.line_end.join([store[head], *map(self.first.__getitem__, lines)])
