@@ -46,7 +46,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partition
     dealt = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     out = dealt.mapInArrow(run, SCHEMA).write.mode("overwrite")
     out = out.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
-    out.option("orc.row.index.stride", "10000").option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").orc(path)
+    out.option("orc.row.index.stride", "10000").option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").option("orc.compression.zstd.level", "1").orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -14,10 +14,14 @@ import os
 import re
 import struct
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _CUT = re.compile(r"(?<=\S) ")
-_UNSAFE = re.compile(r"\s ")
+#: A space behind white space of any kind that re knows, for Arrow's matcher, which takes a fraction of the time.
+_UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _LINES = re.compile(r"\S+(?:\n\S+)+")
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _TAIL = ".,;:!?#$%&*"
@@ -109,11 +113,12 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null texts have none."""
         first, led, out = self.first.__getitem__, self.led.__getitem__, []
-        for t in texts:
+        unsafe = pc.match_substring_regex(pa.array(texts, pa.large_string()), _UNSAFE).to_pylist()
+        for t, careful in zip(texts, unsafe):
             if not t:
                 out.append(b"")
                 continue
-            cut = iter(_CUT.split(t) if _UNSAFE.search(t) else t.split(" "))
+            cut = iter(_CUT.split(t) if careful else t.split(" "))
             out.append(first(next(cut)) + b"".join(map(led, cut)))
             self.first.age()
             self.led.age()
