@@ -12,29 +12,35 @@ from __future__ import annotations
 import numpy as np
 
 SMALL = 64
+EASY = 200  # rows to sort for each symbol not looked up
 
 
 def suffix_order(text: np.ndarray, least: int) -> np.ndarray:
-    """Suffixes ordered by at least their first `least` symbols (prefix doubling); symbols are under 512."""
+    """Suffixes ordered by at least their first `least` symbols (prefix doubling of those still tied); symbols are under 512."""
     n = len(text)
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = text
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | padded[k : n + k]
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.append(True, key[1:] != key[:-1])  # where another prefix than that of the row before begins
     h = 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        fresh = np.empty(n, bool)
-        fresh[:1] = True
-        fresh[1:] = key[order][1:] != key[order][:-1]
-        if h >= least or fresh.all():
-            return order
-        rank = np.empty(n + h, np.uint64)
-        rank[order] = np.cumsum(fresh).astype(np.uint64)
-        rank[n:] = 0
-        key = (rank[:n] << np.uint64(32)) | rank[h:]
+    while h < least:
+        rows = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        if not len(rows):
+            break
+        rank = np.zeros(n + h, np.uint64)
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(1, n + 1), 0)).astype(np.uint64)
+        at = order[rows]
+        key = (rank[at] << np.uint64(32)) | rank[at + h]
+        to = np.argsort(key)
+        order[rows] = at[to]
+        key = key[to]
+        fresh[rows] |= np.append(True, key[1:] != key[:-1])
         h *= 2
+    return order
 
 
 def long_neighbours(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -43,12 +49,13 @@ def long_neighbours(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
     The text ends with a symbol that is below all others and occurs once.
     """
     n = len(text)
-    bwt = text[order - 1]
+    bwt = text[order - 1].astype(np.uint16)  # a narrow type sorts by radix
     by_symbol = np.argsort(bwt, kind="stable")
     symbols, counts = np.unique(bwt[by_symbol], return_counts=True)
     cuts = np.concatenate([[0], np.cumsum(counts)])
     lf = np.empty(n, np.int64)  # row of the suffix one symbol longer
     lf[by_symbol] = np.arange(n)
+    front = np.repeat(symbols, counts)  # first symbol of the suffix of each row
     places = [(int(cuts[k]), by_symbol[cuts[k] : cuts[k + 1]]) for k in range(len(symbols))]
     unset = np.ones(n + 1, bool)
     unset[0] = unset[n] = False
@@ -60,18 +67,19 @@ def long_neighbours(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
         parts = []
         one = lf[lb[size == 1]]
         parts.append((one, one + 1))
-        mid = (size > 1) & (size <= SMALL)
+        big = size > SMALL
+        if big.any() and int(size[big].sum()) <= EASY * len(symbols):
+            big[:] = False  # sorting the rows takes less than looking up every symbol
+        mid = (size > 1) & ~big
         if mid.any():
             a, s = lb[mid], size[mid]
             which = np.repeat(np.arange(len(a)), s)
             rows = np.repeat(a - np.concatenate([[0], np.cumsum(s)[:-1]]), s) + np.arange(int(s.sum()))
-            key = which * 512 + bwt[rows]
-            to = np.argsort(key, kind="stable")
-            key, ends = key[to], lf[rows[to]]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key = np.sort((which << 32) | lf[rows])  # by interval, then symbol, then row
+            which, ends = key >> 32, key & 0xFFFFFFFF
+            first = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (front[ends[1:]] != front[ends[:-1]])))
             last = np.append(first[1:], len(key)) - 1
             parts.append((ends[first], ends[last] + 1))
-        big = size > SMALL
         if big.any():
             for below, at in places:
                 lo, hi = np.searchsorted(at, lb[big]), np.searchsorted(at, rb[big])
