@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from keyfold.llm import bwt, fingerprint, gru, language_model, mixing, near_dedup, packing, quality_rules, secrets, substring_dedup, token_file, toxicity
+from keyfold.llm import bwt, fingerprint, gru, language_model, mixing, near_dedup, packing, quality_rules, secrets, substring_dedup, token_file, tokens, toxicity
 from keyfold.llm.queries import oracle_sql, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -247,6 +247,18 @@ def encoded(texts, name):
     return [(i, np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4")) for i, x in texts]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_give_the_ids_of_whole_texts(name):
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    parts = ["a", "B", "The", "don't", "'s", "1", "23", ",", ".", "!?", "#$%", "-", "é", "İ", "ß", "ª", "µ", "\u0301", "界", "🌍", "<|endoftext|>", "<|startoftext|>", "\r\n", *[" "] * 8, *["\n"] * 3, *spaces]
+    rng = np.random.default_rng(4)
+    texts = [None, "", *(f"x{c} y" for c in spaces), *("".join(rng.choice(parts, rng.integers(40))) for _ in range(5000))]
+    coder = tokens.Encoder(vocabulary(name), most=500)  # so few that pieces are forgotten and met again
+    assert coder.lower is not None
+    whole = coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert coder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in whole]
+
+
 def test_token_file(docs, texts):
     at, want = 0, collections.Counter()
     for i, ids in encoded(sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1])), "word_bpe_49k.json"):
