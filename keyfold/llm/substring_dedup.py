@@ -90,9 +90,10 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, bucket_by
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(a), pa.array(s), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "th", "a", "s", "lo", "n"])
 
     seg = scratch.save(t.mapInArrow(find, "doc_id long, th long, a long, s long, lo int, n int"), "spans")
-    multi = seg.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
+    # Written, so that both sides of the join are plain shuffles and a very common anchor can be split.
+    multi = scratch.save(seg.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "anchors")
     cand = scratch.save(seg.join(multi, "a"), "candidates")
-    scratch.drop("spans")
+    scratch.drop("spans", "anchors")
     kinds = scratch.save(cand.groupBy("a", "s").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("rep")), "kinds")
     per = kinds.groupBy("a").agg(F.count("*").alias("different"), F.min("c").alias("least")).where("different > 1 and least = 1").select("a", "different")
     open_ = kinds.join(per, "a").select("a", "s", "c", "n", "different", "rep.doc_id", "rep.th", "rep.lo")
