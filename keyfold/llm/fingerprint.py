@@ -50,13 +50,15 @@ def _cut(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     fresh[starts] = True
     at = np.flatnonzero(fresh)
     length = np.diff(np.append(at, len(x)))
-    names = x[at] if len(at) == len(x) else mix(x[at] + (length.astype(np.uint64) - np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    names, long = x[at], length > 1  # a symbol that stands once keeps its name, whatever else is in the batch
+    names[long] = mix(names[long] + (length[long].astype(np.uint64) - np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
     starts = np.searchsorted(at, starts)
     label = _lowest_difference(names, starts).astype(np.uint8)
     for _ in range(2):
         label = _lowest_difference(label, starts)
     top = np.zeros(len(label), bool)
     top[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:])
+    top[starts[1:] - 1] = False  # no phrase begins at a text's last symbol: what follows is another text
     top[starts] = True
     begin = np.flatnonzero(top)
     return _groups(names, begin), np.searchsorted(begin, starts)

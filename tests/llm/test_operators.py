@@ -215,6 +215,33 @@ def test_phrases_are_local():
     assert len(np.intersect1d(a, b)) > 0.8 * len(a)
 
 
+def test_phrases_do_not_depend_on_the_batch(texts):
+    g = np.random.default_rng(5)
+    raw = [t.encode() for _, t in texts] + [g.integers(97, 123, int(n)).astype(np.uint8).tobytes() for n in g.integers(1, 300, 100)]
+    alone = [fingerprint.phrase_names([r])[0] for r in raw]
+    for order in (range(len(raw)), range(len(raw))[::-1], g.permutation(len(raw)), g.permutation(len(raw))[:20]):
+        got = fingerprint.phrase_names([raw[i] for i in order])
+        assert all(np.array_equal(alone[i], x) for i, x in zip(order, got))
+    for k in range(0, len(raw) - 1, 7):
+        x, y = raw[k : k + 2]
+        for place, batch in enumerate(([x, y, y], [y, x, y], [y, y, x])):
+            assert np.array_equal(fingerprint.phrase_names(batch)[place], alone[k])
+
+
+def test_equal_texts_have_equal_fingerprints(spark, docs):
+    copies = docs.select("doc_id", "text").union(docs.select((2000 - docs.doc_id).alias("doc_id"), "text"))
+    by = [fingerprint.fingerprint_edits(copies, buckets=n).collect() for n in (1, 5)]
+    assert collections.Counter(map(tuple, by[0])) == collections.Counter(map(tuple, by[1]))
+    text = {(r.doc_id, r.text or "") for r in copies.collect()}
+    names = collections.defaultdict(set)
+    ids = collections.Counter(i for i, _ in text)
+    of = {i: t for i, t in text if ids[i] == 1}
+    for r in by[0]:
+        if r.doc_id in of:
+            names[of[r.doc_id]].add(r.fingerprint)
+    assert len(names) > 100 and all(len(x) == 1 for x in names.values())
+
+
 def test_secrets(docs, texts):
     def base(t):
         x = [(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 12]
