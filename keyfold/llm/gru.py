@@ -53,41 +53,54 @@ def _states(p: Params, gx: np.ndarray, h: np.ndarray, keep: list | None = None)
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = np.minimum(x, 80)  # far beyond any trained logit; keeps exp() finite without a row maximum
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, y: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of y in each row of logits; with grads, the loss's gradient by the logits.  Writes over x."""
+    np.minimum(x, 80, out=x)  # far beyond any trained logit; keeps exp() finite without a row maximum
+    at = np.arange(len(y)), y
+    out = x[at]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    out -= np.log(total)
+    if not grads:
+        return out, None
+    x *= (1 / total)[:, None]
+    x[at] -= 1
+    return out, x
 
 
 def _output(p: Params, bounds: np.ndarray, s: np.ndarray, y: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probability of each target id after each state; with grads, the loss's gradient by state too."""
-    c = np.searchsorted(bounds, y, "right") - 1
-    lc = _log_softmax(s @ p["Wc"] + p["bc"])
-    rows = np.arange(len(y))
-    out = lc[rows, c]
+    c = (np.searchsorted(bounds, np.arange(bounds[-1]), "right") - 1).astype(np.int16)[y]
+    order = np.argsort(c, kind="stable")
+    c, s, y = c[order], s[order], y[order]
+    x = s @ p["Wc"]
+    x += p["bc"]
+    lp, d = _softmax(x, c, grads is not None)
     ds = None
     if grads is not None:
-        d = np.exp(lc)
-        d[rows, c] -= 1
         grads["Wc"] += s.T @ d
         grads["bc"] += d.sum(axis=0)
         ds = d @ p["Wc"].T
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(len(bounds)))
+    cuts = np.searchsorted(c, np.arange(len(bounds)))
     for k in range(len(bounds) - 1):
-        i = order[cuts[k] : cuts[k + 1]]
-        a, b = bounds[k], bounds[k + 1]
-        if not len(i) or (b - a == 1 and grads is None):
+        i, j, a, b = cuts[k], cuts[k + 1], bounds[k], bounds[k + 1]
+        if i == j or b - a == 1:  # a class of one word is certain of it
             continue
-        lo = _log_softmax(s[i] @ p["Wo"][:, a:b] + p["bo"][a:b])
-        at = np.arange(len(i)), y[i] - a
-        out[i] += lo[at]
+        x = s[i:j] @ p["Wo"][:, a:b]
+        x += p["bo"][a:b]
+        lo, d = _softmax(x, y[i:j] - a, grads is not None)
+        lp[i:j] += lo
         if grads is not None:
-            d = np.exp(lo)
-            d[at] -= 1
-            grads["Wo"][:, a:b] += s[i].T @ d
+            grads["Wo"][:, a:b] += s[i:j].T @ d
             grads["bo"][a:b] += d.sum(axis=0)
-            ds[i] += d @ p["Wo"][:, a:b].T
-    return out, ds
+            ds[i:j] += d @ p["Wo"][:, a:b].T
+    out = np.empty_like(lp)
+    out[order] = lp
+    if grads is None:
+        return out, None
+    back = np.empty_like(ds)
+    back[order] = ds
+    return out, back
 
 
 def _batches(docs: list[np.ndarray], rows: int):
@@ -151,19 +164,18 @@ def train(p: Params, bounds: np.ndarray, docs: list[np.ndarray], end: int, rows:
             ds = np.zeros((ok.size, hidden), np.float32)
             ds[at] = _output(p, bounds, s.reshape(-1, hidden)[at], y.ravel()[at], g)[1]
             ds = ds.reshape(s.shape)
-            dgx = np.empty((*ok.shape, 3 * hidden), np.float32)
+            before, z, r, u, ghn = map(np.stack, zip(*keep))
+            fu = (1 - z) * (1 - u * u)
+            fr = fu * ghn * r * (1 - r)
+            fz = (before - u) * z * (1 - z)
+            to_x, to_h = np.stack([fz, fr, fu], axis=2), np.stack([fz, fr, fu * r], axis=2)
+            dhs, back = np.empty_like(ds), p["Wh"].T.copy()
             dh = np.zeros_like(h)
             for t in range(len(keep) - 1, -1, -1):
-                before, z, r, u, ghn = keep[t]
-                dh = dh + ds[t]
-                du = dh * (1 - z) * (1 - u * u)
-                dz = dh * (before - u) * z * (1 - z)
-                dr = du * ghn * r * (1 - r)
-                dgx[t] = np.concatenate([dz, dr, du], axis=1)
-                dgh = np.concatenate([dz, dr, du * r], axis=1)
-                g["Wh"] += before.T @ dgh
-                dh = dh * z + dgh @ p["Wh"].T
-            flat = dgx.reshape(-1, 3 * hidden)
+                dh = np.add(dh, ds[t], out=dhs[t])
+                dh = dh * z[t] + (dh[:, None] * to_h[t]).reshape(-1, 3 * hidden) @ back
+            g["Wh"] += before.reshape(-1, hidden).T @ (dhs[:, :, None] * to_h).reshape(-1, 3 * hidden)
+            flat = (dhs[:, :, None] * to_x).reshape(-1, 3 * hidden)
             g["b"] += flat.sum(axis=0)
             g["Wx"] += xe.reshape(-1, xe.shape[-1]).T @ flat
             order = np.argsort(x, axis=None, kind="stable")

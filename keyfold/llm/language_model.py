@@ -6,8 +6,8 @@ times the word's own share among the rare (add-one).  Counts of frequent words t
 code (their number is a parameter); rare words are joined with the count table.
 
 The model starts as a unigram, takes a first pass over a bounded number of documents in one
-task, then every partition goes on from there with a fixed share of its training documents and
-the results are averaged in a tree.
+task, then every partition goes on from there with all of its training documents (or a share
+of them) and the results are averaged in a tree.
 """
 
 from __future__ import annotations
@@ -82,17 +82,17 @@ class Vocabulary:
         return np.where(hit, self.ids[at], self.unknown), np.where(hit, self.c[at], -1)
 
 
-def _trainer(vocabulary: Vocabulary, shape: gru.Params, passes: int):
+def _trainer(vocabulary: Vocabulary, shape: gru.Params, passes: int, rows: int = 32):
     def run(batches):
         p, moments, n = {k: v.copy() for k, v in shape.items()}, None, 0
         for batch in batches:
-            for i, _, buf, offsets in slices(batch.column(0)):
+            for i, _, buf, offsets in slices(batch.column(0), 8 << 20):
                 tokens, first = _tokens(buf, offsets)
                 ids, _ = vocabulary.find(tokens)
                 docs = [ids[a:b] for a, b in zip(first[:-1], first[1:])]
                 n += sum(map(len, docs))
                 for _ in range(passes):
-                    moments = gru.train(p, vocabulary.bounds, docs, vocabulary.end, moments=moments) if docs else moments
+                    moments = gru.train(p, vocabulary.bounds, docs, vocabulary.end, rows, moments=moments) if docs else moments
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([gru.pack(p)], pa.binary())], names=["part", "n", "model"])
@@ -134,18 +134,18 @@ def fit(docs: DataFrame, scratch: Scratch, frequent: int, modelled: int, n_class
     run, schema = _trainer(vocabulary, p, 2)
     row = some.mapInArrow(run, schema).first()
     p = gru.unpack(bytes(row["model"]), p) if row else p
-    run, schema = _trainer(vocabulary, p, 1)
+    run, schema = _trainer(vocabulary, p, 1, 128)
     models = scratch.save(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInArrow(run, schema), "models")
     parts = models.agg(F.max("part")).first()[0]
     mean = _average(models, 16, scratch, parts + 1) if parts is not None else None
     return vocabulary, gru.unpack(mean, p) if mean else p, counts
 
 
-def score(docs: DataFrame, frequent: int = 100_000, modelled: int = 1500, n_classes: int = 36, width: int = 16, hidden: int = 24, first_docs: int = 400, share: int = 32) -> DataFrame:
+def score(docs: DataFrame, frequent: int = 100_000, modelled: int = 1500, n_classes: int = 36, width: int = 16, hidden: int = 24, first_docs: int = 400, share: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
-    Counts cover every training document; one in `share` of them (by a hash of doc_id) also
-    gives gradients.  Null and empty texts are one end token.  A null doc_id is not held out;
+    Counts and gradients cover every training document; with `share` above 1, one in `share`
+    of them (by a hash of doc_id) gives gradients.  Null and empty texts are one end token.  A null doc_id is not held out;
     repeated rows count and are scored each; other columns are ignored.  With no training
     documents nothing is known and the scores are uniform.  An empty table gives an empty result.
     """

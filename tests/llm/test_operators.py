@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import math
 import re
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 
 from keyfold.llm import bwt, fingerprint, gru, language_model, mixing, near_dedup, packing, quality_rules, secrets, substring_dedup, token_file, tokens, toxicity
+from keyfold.llm._tables import Scratch
 from keyfold.llm.queries import oracle_sql, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -181,6 +183,18 @@ def test_language_model(docs, texts):
     assert sum(r.score for r in rest) > sum(r.base_score for r in rest)
 
 
+def test_model_learns_from_every_training_document(spark, docs):
+    """With the parameters of production."""
+    default = {k: x.default for k, x in inspect.signature(language_model.score).parameters.items() if k != "docs"}
+    held = language_model._held_out(docs.doc_id)
+    scratch = Scratch(spark, "test-language-model")
+    vocabulary, p, _ = language_model.fit(docs.where(~held).select("doc_id", "text"), scratch, **default)
+    learnt = spark.read.parquet(scratch.path("models")).agg({"n": "sum"}).first()[0]
+    assert learnt == vocabulary.n > 0
+    rest = [r for r in language_model.score(docs).collect() if r.held_out]
+    assert sum(r.score for r in rest) > sum(r.base_score for r in rest)
+
+
 def test_gradients():
     """Backpropagation agrees with differences, and windows with whole documents."""
     counts = np.array([5.0, 4, 3, 2, 1, 1])
