@@ -13,12 +13,22 @@ def _mark(df: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _minima(edges: DataFrame) -> DataFrame:
+    """(u, m): the least v of each u.
+
+    Grouped by the complement of u, so that a join on u shuffles both of its sides anew and
+    Spark can split the rows of a node with very many edges.
+    """
+    return edges.groupBy(F.bitwise_not("u").alias("not_u")).agg(F.min("v").alias("m")).select(F.bitwise_not("not_u").alias("u"), "m")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component): component is the smallest node reachable over edges (u, v).
 
     Alternates large-star and small-star steps until the edges are stars around the smallest
-    nodes.  Minima are taken with map-side aggregation and joined back, so a node with a third
-    of all edges is neither gathered in one task nor sent to the driver.  Edges with a null
+    nodes.  Minima are taken with map-side aggregation and joined back, and Spark can split that
+    join's rows of one node, so a node with a third of all edges is neither gathered in one task
+    nor sent to the driver.  Edges with a null
     end and self-loops are ignored; repeated edges count once; no edges give no rows.
     """
     e = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -28,10 +38,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     turn = 0
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = _minima(both).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = large.join(_minima(large), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         turn += 1
         e = scratch.save(small.where("u <> v").distinct(), f"{name}{turn}")
         scratch.drop(kept)

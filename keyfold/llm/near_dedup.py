@@ -6,11 +6,15 @@
 3. Retained values are inverted into lists.  Of each sketch only the rarest values are listed:
    two sketches that share at least `need` values must share one among the m - need + 1 rarest
    of each (m values in the sketch), so nothing is lost by leaving the frequent ones out, and
-   a passage that many documents quote makes no long list.
-4. Lists that overlap form clusters.  Within a cluster the union sketch estimates each pair's
-   similarity; pairs that pass are verified on the full shingle sets.  A cluster over the
-   block bounds is dealt out as pairs of blocks, so no task holds more than two blocks.
-5. Verified links are joined into components.
+   a passage that many documents quote makes no long list.  Lists hold sets of like size, and
+   one of several lists of the same documents is kept.
+4. Documents that share a list are overlaps.  The union sketch of two estimates their
+   similarity; who has no partner left drops out, the others are verified on their full
+   shingle sets.  Sketches travel with the lists, full sets only with what is left of them.
+5. A long list is cut into blocks, each of which also gets the list's smallest document, so
+   near copies by the thousand are one component after linear work.  Only blocks of a list
+   that is still in several components are compared with each other.
+6. Verified links are joined into components.
 
 `need` is exact for sets no larger than the sketch.  Beyond, a pair at the threshold is missed
 with a probability under 1e-9 (binomial tail over the union sketch).
@@ -56,6 +60,18 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np
     return out
 
 
+def set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set; 0 for an empty one."""
+    flat = np.concatenate([*sets, np.empty(0, np.int64)]).view(np.uint64)
+    ends = np.cumsum([0, *map(len, sets)])
+    out = []
+    for salt in (0, 0x5851F42D4C957F2D):
+        total = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(mix(flat ^ np.uint64(salt)), out=total[1:])
+        out.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
 def tail_need(k: int, threshold: float, miss: float = 1e-9) -> int:
     """The largest s for which fewer than s of k union-sketch values are shared with probability under miss."""
     p, s = 0.0, 0
@@ -71,94 +87,161 @@ def _sketches(k: int, size: int):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
             for i, j, buf, offsets in slices(batch.column(1)):
                 sets = shingle_sets(buf, offsets, size)
                 n = np.array([len(s) for s in sets], np.int64)
-                h1 = np.array([int(mix(s.view(np.uint64)).sum(dtype=np.uint64)) for s in sets], np.uint64)
-                h2 = np.array([int(mix(s.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets], np.uint64)
-                flat = np.concatenate([s[:k] for s in sets]) if sets else np.empty(0, np.int64)
+                h1, h2 = set_hashes(sets)
+                flat = np.concatenate([s[:k] for s in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), list_array(flat, np.minimum(n, k), pa.int64())],
+                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array(h1), pa.array(h2), list_array(flat, np.minimum(n, k), pa.int64())],
                     names=["doc_id", "n", "h1", "h2", "sketch"],
                 )
 
     return run, schema
 
 
-def _overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
-    """Matrix of intersection sizes, from an inverted index cut into strips of values."""
+def _overlaps(sets: list[np.ndarray], width: int = 1024) -> np.ndarray:
+    """Matrix of intersection sizes, from an inverted index cut into strips of values.
+
+    Values are taken in the order of the first set that holds them, so the sets of a strip are
+    few where sets that have nothing in common stand apart.
+    """
     m = len(sets)
-    lengths = np.array([len(s) for s in sets])
+    lengths = np.array([len(s) for s in sets], np.int64)
     value, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(m), lengths)
     shared = count[where] > 1
     row, where = row[shared], where[shared]
-    _, where = np.unique(where, return_inverse=True)
-    out = np.zeros((m, m), np.float32)
+    first = np.full(len(value), m)
+    np.minimum.at(first, where, row)
+    rank = np.empty(len(value), np.int64)
+    rank[np.argsort(first, kind="stable")] = np.arange(len(value))  # values in one set only come last
+    where = rank[where]
     order = np.argsort(where, kind="stable")
     row, where = row[order], where[order]
+    out = np.zeros((m, m), np.float32)
     columns = int(where[-1]) + 1 if len(where) else 0
     for at in range(0, columns, width):
         a, b = np.searchsorted(where, (at, at + width))
-        strip = np.zeros((m, min(width, columns - at)), np.float32)
-        strip[row[a:b], where[a:b] - at] = 1
-        out += strip @ strip.T
+        who, place = np.unique(row[a:b], return_inverse=True)
+        strip = np.zeros((len(who), min(width, columns - at)), np.float32)
+        strip[place, where[a:b] - at] = 1
+        out[np.ix_(who, who)] += strip @ strip.T
     out[np.arange(m), np.arange(m)] = lengths
     return out
 
 
-def _pair_links(ids, n, sketches, sets, side, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one task as (document, smallest linked document) rows; side: 0 first block, 1 second, None if one block."""
-    m = len(ids)
+def _alike(sketches: list[np.ndarray], n: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """Mask of sketches that have a partner which the union sketch of both does not rule out."""
     t = percent / 100
     shared = _overlaps(sketches)
-    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-    top = np.array([high if c <= k or not len(s) else s[-1] for s, c in zip(sketches, n)], np.int64)
+    high = np.iinfo(np.int64).max
+    top = np.array([high if c <= k else s[-1] for s, c in zip(sketches, n)], np.int64)
     rank = np.stack([np.searchsorted(s, top, "right") for s in sketches])  # [a, b]: values of a up to b's largest
-    theta = top[:, None] <= top[None, :]
     own = np.array([len(s) for s in sketches])
-    union = np.where(theta, own[:, None] + rank.T, rank + own[None, :]) - shared
+    union = np.where(top[:, None] <= top[None, :], own[:, None] + rank.T, rank + own[None, :]) - shared
     exact = (top == high)[:, None] & (top == high)[None, :]
     slack = np.where(exact, 0, 6.5 * np.sqrt(union * t * (1 - t)))
     maybe = shared + slack + 1e-3 >= t * union
-    if side is not None:
-        maybe &= side[:, None] != side[None, :]
     np.fill_diagonal(maybe, False)
-    who = np.flatnonzero(maybe.any(axis=1))
-    if not len(who):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = _overlaps([sets[i] for i in who]).astype(np.int64)
-    size = n[who]
-    linked = maybe[np.ix_(who, who)] & (100 * both >= percent * (size[:, None] + size[None, :] - both))
-    root = np.arange(len(who))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a in range(len(who)):
-        for b in np.flatnonzero(linked[a, a + 1 :]) + a + 1:
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    ends = np.array([find(x) for x in range(len(who))])
-    best = np.full(len(who), high, np.int64)
-    np.minimum.at(best, ends, ids[who])
-    best = best[ends]
-    keep = best != ids[who]
-    return ids[who][keep], best[keep]
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, block_rows: int = 1000, block_shingles: int = 1_000_000) -> DataFrame:
+    return maybe.any(axis=1)
+
+
+def _links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, smallest document it is joined with) of all that have links among the sets given."""
+    size = np.array([len(s) for s in sets], np.int64)
+    both = _overlaps(sets).astype(np.int64)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    order = np.argsort(ids, kind="stable")
+    ids, linked = ids[order], linked[np.ix_(order, order)]
+    label = np.arange(len(ids))
+    while True:
+        low = np.where(linked, label[None, :], len(ids)).min(axis=1)
+        low = low[low]
+        if np.array_equal(low, label):
+            break
+        label = low
+    keep = ids[label] != ids
+    return ids[keep], ids[label][keep]
+
+
+def _whole_groups(batches, weight: str, most_rows: int, most_weight: int):
+    """Tables of whole groups (equal first column; rows come sorted by it), closed beyond a number of rows or a weight."""
+    held: list[pa.RecordBatch] = []
+    rows = heavy = 0
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column(0).to_numpy()
+        ahead = np.concatenate([[0], np.cumsum(batch.column(batch.schema.get_field_index(weight)).to_numpy())])
+        begins = np.flatnonzero(g[1:] != g[:-1]) + 1
+        at = 0
+        for s in ([0] if last is not None and g[0] != last else []) + begins.tolist():
+            if rows + s - at >= most_rows or heavy + ahead[s] - ahead[at] >= most_weight:
+                yield pa.Table.from_batches([*held, batch.slice(at, s - at)])
+                held, rows, heavy, at = [], 0, 0, s
+        held.append(batch.slice(at))
+        rows, heavy, last = rows + len(g) - at, heavy + ahead[-1] - ahead[at], g[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
+    col = table.column(name).combine_chunks()
+    flat, at = col.values.to_numpy(), col.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _compare(rows: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, name: str, k: int, size: int, percent: int, batch_rows: int, batch_shingles: int) -> DataFrame:
+    """Verified links (u, v) among rows (g, rep) with the same g, as a spanning star of each group met.
+
+    Groups are met by the batch.  Sketches go first; full sets only of documents that have a
+    partner which the sketches do not rule out.
+    """
+
+    def estimate(batches):
+        for t in _whole_groups(batches, "n", batch_rows, 1 << 62):
+            ids, n, sketches = t.column("rep").to_numpy(), t.column("n").to_numpy(), _lists(t, "sketch")
+            mark = mix(ids.view(np.uint64) + mix(np.array([s.sum(dtype=np.int64) for s in sketches]).view(np.uint64)))
+            _, at = np.unique(mark, return_index=True)
+            at.sort()
+            alike = at[_alike([sketches[i] for i in at], n[at], k, percent)] if len(at) > 1 else at[:0]
+            batch = t.column("g")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(alike), batch)), pa.array(ids[alike])], names=["batch", "rep"])
+
+    def full(batches):
+        for b in batches:
+            ids, h1, h2, met, text = (b.column(b.schema.get_field_index(c)) for c in ("rep", "h1", "h2", "met", "text"))
+            for i, j, buf, offsets in slices(text):
+                sets = shingle_sets(buf, offsets, size)
+                a, c = set_hashes(sets)
+                # a doc_id may stand for several texts; the hashes tell which one is meant
+                own = np.flatnonzero((a == h1.slice(i, j - i).to_numpy()) & (c == h2.slice(i, j - i).to_numpy()))
+                take = pa.array(own + i)
+                yield pa.RecordBatch.from_arrays([ids.take(take), met.take(take), pa.array([len(sets[x]) for x in own], pa.int64()), list_array(np.concatenate([sets[x] for x in own]) if len(own) else np.empty(0, np.int64), [len(sets[x]) for x in own], pa.int64())], names=["rep", "met", "n", "members"])
+
+    def verify(batches):
+        for t in _whole_groups(batches, "n", batch_rows, batch_shingles):
+            u, v = _links(t.column("rep").to_numpy(), _lists(t, "members"), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    met = rows.join(reps.select("rep", "n", "sketch"), "rep").select("g", "rep", "n", "sketch")
+    met = met.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(estimate, "batch long, rep long")
+    found = scratch.save(met, f"{name}-estimated")
+    per = found.groupBy("rep").agg(F.collect_set("batch").alias("met")).join(reps.select("rep", "h1", "h2"), "rep")
+    sets = texts(docs).withColumnRenamed("doc_id", "rep").join(per, "rep").mapInArrow(full, "rep long, met array<long>, n long, members array<long>")
+    dealt = sets.select(F.explode("met").alias("batch"), "rep", "n", "members").repartition("batch").sortWithinPartitions("batch", "rep")
+    return scratch.save(dealt.mapInArrow(verify, "u long, v long"), f"{name}-links")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, block_rows: int = 1000, block_shingles: int = 500_000, batch_rows: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Links pairs with 100 * |intersection| >= percent * |union| of their shingle sets and returns
     the smallest doc_id reachable.  Null and empty texts, and texts without words, have an empty
-    set and stand alone.  Rows that repeat a doc_id are separate rows of one document: each is
-    returned, with the component of its own text.  A null doc_id stands alone with a null
+    set and stand alone.  Rows that repeat a doc_id are one document, linked by any of its texts;
+    each row is returned with its own set's size.  A null doc_id stands alone with a null
     component and is kept.  Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -170,55 +253,45 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
 
     need = tail_need(k, percent / 100)
     whole = k * percent // 100  # such a set and any partner are whole in their sketches
-    values = reps.select("rep", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = values.join(often, "v").groupBy("rep", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    values = reps.select("rep", "h1", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    # Tables that are joined are written: both sides are then plain shuffles, of which a very common key can be split.
+    often = scratch.save(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    ranked = values.join(often, "v").groupBy("rep", "h1", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     required = F.when(F.col("m") <= whole, F.ceil(F.col("m") * percent / 100)).otherwise(F.lit(need))
     spare = F.greatest(F.lit(0), (F.col("m") - required + 1 - (F.col("m") - F.size("vs"))).cast("int"))
-    lists = scratch.save(ranked.select("rep", F.explode(F.slice("vs", F.lit(1), spare)).alias("x")).select("rep", F.col("x.v").alias("v")), "lists")
-    hubs = lists.groupBy("v").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    clusters = connected_components(lists.join(hubs, "v").select(F.col("rep").alias("u"), F.col("hub").alias("v")), scratch, "cluster")
-    sizes = clusters.withColumnRenamed("node", "rep").join(reps.select("rep", "n"), "rep")
-    per = sizes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    members = sizes.join(per, "component").join(reps.select("rep", "sketch"), "rep")
+    # Sizes of linked sets differ by one band at most, so a list is kept for each two neighbouring bands.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + F.lit(1e-9)).cast("int")
+    listed = ranked.select("rep", "n", band.alias("band"), F.explode(F.slice("vs", F.lit(1), spare)).alias("x"))
+    listed = listed.select("rep", "n", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("v"))
+    lists = scratch.save(listed, "lists")
+    heads = lists.groupBy("v").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("rep").alias("hub"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("c > 1")
+    heads = heads.groupBy("c", "total", "hub", "mark").agg(F.min("v").alias("v"))  # lists of the same documents once
+    blocks = F.greatest(F.ceil(F.col("c") / block_rows), F.ceil(F.col("total") / block_shingles)).cast("int")
+    heads = scratch.save(heads.select("v", "hub", blocks.alias("blocks")), "heads")
+    member = lists.select("rep", "v").join(heads.select("v", "blocks"), "v").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    compare = lambda rows, name: _compare(rows, reps, docs, scratch, name, k, size, percent, batch_rows, block_shingles)
+
+    # Each list in blocks, the list's smallest document in each block: copies of it fall together in linear work.
+    every = member.select(F.xxhash64("v", "own", F.lit(-1)).alias("g"), "rep")
+    hubs = heads.where("blocks > 1").select("v", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    links = compare(every.union(hubs.select(F.xxhash64("v", "own", F.lit(-1)), "hub")), "near")
+    again = found.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("doc_id")
+    several = found.join(again, "doc_id").join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    links = links.union(several)
+    joined = connected_components(links, scratch, "joined")
+
+    # Blocks against blocks, of lists that are not yet one component.
+    large = heads.where("blocks > 1")
+    if not large.isEmpty():
+        of = member.where("blocks > 1").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        open_ = of.groupBy("v").agg(F.min(F.coalesce("component", "rep")).alias("a"), F.max(F.coalesce("component", "rep")).alias("b")).where("a <> b").select("v")
+        cross = member.join(scratch.save(open_, "open"), "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+        more = compare(cross.select(F.xxhash64("v", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "rep"), "cross")
+        if not more.isEmpty():
+            joined = connected_components(links.union(more), scratch, "crossed")
 
-    def full(batches):
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            rest = batch.drop_columns(["text"]) if hasattr(batch, "drop_columns") else pa.RecordBatch.from_pandas(batch.to_pandas().drop(columns="text"))
-            for i, j, buf, offsets in slices(text):
-                sets = shingle_sets(buf, offsets, size)
-                flat = np.concatenate(sets)
-                part = rest.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, list_array(flat, [len(s) for s in sets], pa.int64())], names=[*part.schema.names, "members"])
-
-    # a rep may name several rows if a doc_id repeats; the set's hash picks the right one later
-    lookup = texts(docs).withColumnRenamed("doc_id", "rep").join(members.select("rep", "component", "blocks", "n", "sketch"), "rep")
-    with_sets = lookup.select("rep", "component", "blocks", "n", "sketch", "text").mapInArrow(full, "rep long, component long, blocks int, n long, sketch array<long>, members array<long>")
-    with_sets = with_sets.where("size(members) = n and slice(members, 1, size(sketch)) = sketch")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = with_sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "sketch", "members")
-
-    def link(key, table):
-        ids = table.column("rep").to_numpy()
-        i, j = key[1].as_py(), key[2].as_py()
-        own = table.column("own").to_numpy()
-        n = table.column("n").to_numpy()
-
-        def arrays(name):
-            col = table.column(name).combine_chunks()
-            flat, offs = col.values.to_numpy(), col.offsets.to_numpy()
-            return [flat[a:b] for a, b in zip(offs[:-1], offs[1:])]
-
-        u, v = _pair_links(ids, n, arrays("sketch"), arrays("members"), None if i == j else own == i, k, percent)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    links = dealt.groupBy("component", "i", "j").applyInArrow(link, "u long, v long")
-    joined = connected_components(links, scratch, "links")
     of = reps.select("h1", "h2", "n", "rep").join(joined.select(F.col("node").alias("rep"), F.col("component").alias("joined")), "rep", "left")
     of = scratch.save(of.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("kn"), F.coalesce("joined", "rep").alias("joined")), "result")
-    scratch.drop("classes", "lists")
     out = sk.join(of, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") == F.col("kn")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("joined", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

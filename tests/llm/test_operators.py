@@ -94,6 +94,31 @@ def test_blocks_lose_no_link(docs):
     assert one == {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, block_rows=2, block_shingles=500).collect()}
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    w = " ".join(f"w{k}" for k in range(100))
+    rows = [(7, w), (7, "quite another text of six words"), (7, None), (3, w + " end"), (9, "Quite another text of six words"), (11, w[:200])]
+    out = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {x[:1] + x[2:] for x in out if x[1]} == {(7, 3, False), (3, 3, True), (9, 3, False), (11, 11, True)}
+
+
+def test_intersections():
+    g = np.random.default_rng(8)
+    sets = [np.unique(g.integers(0, int(g.integers(5, 300)), int(g.integers(1, 200)))) for _ in range(60)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert np.array_equal(near_dedup._overlaps(sets, width=7), want) and np.array_equal(near_dedup._overlaps(sets), want)
+
+
+def test_many_near_copies_are_one_component(spark):
+    """With lists of one block and of several."""
+    g = np.random.default_rng(6)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(i, " ".join([*base[:60], f"x{i}", *base[60:]])) for i in range(400)] + [(1000 + i, " ".join(g.permutation(base)[:50])) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1000, 30):
+        out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(d, block_rows=most, batch_rows=most).collect()}
+        assert all(out[i] == 0 for i in range(400)) and all(out[1000 + i] == 1000 + i for i in range(20))
+
+
 def test_quality(docs, texts):
     out = quality_rules.quality(docs).collect()
     want = collections.Counter()
