@@ -21,9 +21,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (similarity 0.8 or more) the document with the smallest doc_id stays (with rows that repeat it)."""
-    gone = near_dedup.near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of each group of near-duplicates (similarity 0.8 or more) the document with the smallest doc_id stays.
+
+    Rows that repeat it stay with it; a null doc_id is in no group and stays.
+    """
+    gone = near_dedup.near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
