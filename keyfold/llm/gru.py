@@ -37,7 +37,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _states(p: Params, gx: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+def _states(p: Params, gx: np.ndarray, h: np.ndarray) -> np.ndarray:
     """States after each step of a window; gx: input part of the gates, steps x rows x 3 hidden."""
     n = h.shape[1]
     out = np.empty((gx.shape[0], *h.shape), np.float32)
@@ -46,16 +46,67 @@ def _states(p: Params, gx: np.ndarray, h: np.ndarray, keep: list | None = None)
         zr = _sigmoid(gx[t, :, : 2 * n] + gh[:, : 2 * n])
         z, r = zr[:, :n], zr[:, n:]
         u = np.tanh(gx[t, :, 2 * n :] + r * gh[:, 2 * n :])
-        if keep is not None:
-            keep.append((h, z, r, u, gh[:, 2 * n :]))
         h = u + z * (h - u)
         out[t] = h
     return out
 
 
-def _softmax(x: np.ndarray, y: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray | None]:
+class _Tape:
+    """A window's forward pass with what its backward pass needs, in arrays of steps x rows x ..."""
+
+    def __init__(self, p: Params, gx: np.ndarray, h: np.ndarray, fresh: np.ndarray):
+        """fresh: where a document begins, steps x rows; its state before that is 0."""
+        steps, rows, n = gx.shape[0], *h.shape
+        self.p, self.fresh = p, fresh
+        self.before, self.after = np.empty((steps, rows, n), np.float32), np.empty((steps, rows, n), np.float32)
+        self.gate, self.u, self.part = np.empty((steps, rows, 2 * n), np.float32), np.empty((steps, rows, n), np.float32), np.empty((steps, rows, n), np.float32)
+        gh, spare = np.empty((rows, 3 * n), np.float32), np.empty((rows, n), np.float32)
+        for t in range(steps):
+            zr, u, before = self.gate[t], self.u[t], self.before[t]
+            before[:] = h
+            before[fresh[t]] = 0
+            np.matmul(before, p["Wh"], out=gh)
+            np.add(gx[t, :, : 2 * n], gh[:, : 2 * n], out=zr)
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            self.part[t] = gh[:, 2 * n :]
+            np.multiply(zr[:, n:], self.part[t], out=u)
+            u += gx[t, :, 2 * n :]
+            np.tanh(u, out=u)
+            np.subtract(before, u, out=spare)
+            spare *= zr[:, :n]
+            h = np.add(u, spare, out=self.after[t])
+
+    def back(self, ds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients by the gates' sums, given those by the states from the output: of update, reset and (times reset) new state; of the new state."""
+        steps, rows, n = ds.shape
+        z, r = self.gate[:, :, :n], self.gate[:, :, n:]
+        to = np.empty((steps, rows, 3, n), np.float32)
+        fu = (1 - z) * (1 - self.u * self.u)
+        np.multiply(fu, r, out=to[:, :, 2])
+        np.multiply(to[:, :, 2], self.part, out=to[:, :, 1])
+        to[:, :, 1] *= 1 - r
+        np.subtract(self.before, self.u, out=to[:, :, 0])
+        to[:, :, 0] *= z
+        to[:, :, 0] *= 1 - z
+        back, dh, spare = self.p["Wh"].T.copy(), np.zeros((rows, n), np.float32), np.empty((rows, n), np.float32)
+        for t in range(steps - 1, -1, -1):
+            dh += ds[t]
+            fu[t] *= dh
+            to[t] *= dh[:, None]
+            np.matmul(to[t].reshape(rows, 3 * n), back, out=spare)
+            dh *= z[t]
+            dh += spare
+            dh[self.fresh[t]] = 0
+        return to.reshape(-1, 3 * n), fu.reshape(-1, n)
+
+
+def _softmax(x: np.ndarray, y: np.ndarray, grads: bool, safe: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probability of y in each row of logits; with grads, the loss's gradient by the logits.  Writes over x."""
-    np.minimum(x, 80, out=x)  # far beyond any trained logit; keeps exp() finite without a row maximum
+    if not safe:
+        np.minimum(x, 80, out=x)  # far beyond any trained logit; keeps exp() finite without a row maximum
     at = np.arange(len(y)), y
     out = x[at]
     np.exp(x, out=x)
@@ -70,12 +121,14 @@ def _softmax(x: np.ndarray, y: np.ndarray, grads: bool) -> tuple[np.ndarray, np.
 
 def _output(p: Params, bounds: np.ndarray, s: np.ndarray, y: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probability of each target id after each state; with grads, the loss's gradient by state too."""
+    # states are within -1..1, which bounds the logits
+    safe_c, safe_o = (float((np.abs(p[w]).sum(axis=0) + p[b]).max()) < 80 for w, b in (("Wc", "bc"), ("Wo", "bo")))
     c = (np.searchsorted(bounds, np.arange(bounds[-1]), "right") - 1).astype(np.int16)[y]
     order = np.argsort(c, kind="stable")
     c, s, y = c[order], s[order], y[order]
     x = s @ p["Wc"]
     x += p["bc"]
-    lp, d = _softmax(x, c, grads is not None)
+    lp, d = _softmax(x, c, grads is not None, safe_c)
     ds = None
     if grads is not None:
         grads["Wc"] += s.T @ d
@@ -88,7 +141,7 @@ def _output(p: Params, bounds: np.ndarray, s: np.ndarray, y: np.ndarray, grads:
             continue
         x = s[i:j] @ p["Wo"][:, a:b]
         x += p["bo"][a:b]
-        lo, d = _softmax(x, y[i:j] - a, grads is not None)
+        lo, d = _softmax(x, y[i:j] - a, grads is not None, safe_o)
         lp[i:j] += lo
         if grads is not None:
             grads["Wo"][:, a:b] += s[i:j].T @ d
@@ -146,49 +199,84 @@ def log_likelihoods(p: Params, bounds: np.ndarray, docs: list[np.ndarray], end:
     return out
 
 
+def _views(flat: np.ndarray, like: Params) -> Params:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+def gradients(p: Params, bounds: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, g: Params) -> np.ndarray:
+    """Adds to g the gradient of a window's summed loss by each parameter; returns the states after it."""
+    hidden = h.shape[1]
+    xe = p["E"][x.ravel()]
+    tape = _Tape(p, (xe @ p["Wx"] + p["b"]).reshape(*x.shape, -1), h, fresh)
+    ds = _output(p, bounds, tape.after.reshape(-1, hidden), y.ravel(), g)[1]
+    d, du = tape.back(ds.reshape(*x.shape, hidden))
+    g["Wh"] += tape.before.reshape(-1, hidden).T @ d
+    n = 2 * hidden
+    g["b"][:n] += d[:, :n].sum(axis=0)
+    g["b"][n:] += du.sum(axis=0)
+    g["Wx"][:, :n] += xe.T @ d[:, :n]
+    g["Wx"][:, n:] += xe.T @ du
+    dx = d[:, :n] @ p["Wx"][:, :n].T
+    dx += du @ p["Wx"][:, n:].T
+    order = np.argsort(x, axis=None, kind="stable")
+    used, begin = np.unique(x.ravel()[order], return_index=True)
+    g["E"][used] += np.add.reduceat(dx[order], begin, axis=0)
+    return tape.after[-1]
+
+
+def _streams(docs: list[np.ndarray], rows: int, size: int, end: int):
+    """(inputs, targets, fresh) of windows, steps x streams, over all tokens once.
+
+    The documents stand one behind the other and are cut into streams of one length, so every
+    window is full; the last one of all may be narrower and shorter.
+    """
+    y = np.concatenate(docs)
+    fresh = np.zeros(len(y), bool)
+    fresh[np.cumsum([0, *map(len, docs[:-1])])] = True
+    x = np.where(fresh, end, np.append(end, y[:-1]))
+    rows = max(1, min(rows, len(y) // size))
+    steps = len(y) // rows
+    whole = [np.ascontiguousarray(a[: rows * steps].reshape(rows, steps).T) for a in (x, y, fresh)]
+    for t in range(0, steps, size):
+        yield t, *(a[t : t + size] for a in whole)
+    if rows * steps < len(y):
+        yield 0, *(a[rows * steps :, None] for a in (x, y, fresh))
+
+
 def train(p: Params, bounds: np.ndarray, docs: list[np.ndarray], end: int, rows: int = 32, size: int = 32, rate: float = 3e-3, moments: list | None = None) -> list:
     """One pass of truncated backpropagation with Adam; changes p, returns the optimiser's moments."""
     hidden = p["Wh"].shape[0]
-    moments = moments or [{k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0]
-    batches = list(_batches(docs, rows))
-    for who in [batches[i] for i in np.random.default_rng(len(docs)).permutation(len(batches))]:
-        h = np.zeros((len(who), hidden), np.float32)
-        for _, x, y, ok in _windows(docs, who, size, end):
-            h = h[: x.shape[1]]
-            xe = p["E"][x]
-            keep: list = []
-            s = _states(p, xe @ p["Wx"] + p["b"], h, keep)
-            h = s[-1]
-            g = {k: np.zeros_like(v) for k, v in p.items()}
-            at = ok.ravel()
-            ds = np.zeros((ok.size, hidden), np.float32)
-            ds[at] = _output(p, bounds, s.reshape(-1, hidden)[at], y.ravel()[at], g)[1]
-            ds = ds.reshape(s.shape)
-            before, z, r, u, ghn = map(np.stack, zip(*keep))
-            fu = (1 - z) * (1 - u * u)
-            fr = fu * ghn * r * (1 - r)
-            fz = (before - u) * z * (1 - z)
-            to_x, to_h = np.stack([fz, fr, fu], axis=2), np.stack([fz, fr, fu * r], axis=2)
-            dhs, back = np.empty_like(ds), p["Wh"].T.copy()
-            dh = np.zeros_like(h)
-            for t in range(len(keep) - 1, -1, -1):
-                dh = np.add(dh, ds[t], out=dhs[t])
-                dh = dh * z[t] + (dh[:, None] * to_h[t]).reshape(-1, 3 * hidden) @ back
-            g["Wh"] += before.reshape(-1, hidden).T @ (dhs[:, :, None] * to_h).reshape(-1, 3 * hidden)
-            flat = (dhs[:, :, None] * to_x).reshape(-1, 3 * hidden)
-            g["b"] += flat.sum(axis=0)
-            g["Wx"] += xe.reshape(-1, xe.shape[-1]).T @ flat
-            order = np.argsort(x, axis=None, kind="stable")
-            used, begin = np.unique(x.ravel()[order], return_index=True)
-            g["E"][used] = np.add.reduceat((flat @ p["Wx"].T)[order], begin, axis=0)
-            n = max(1, int(at.sum()))
-            moments[2] += 1
-            fix = np.sqrt(1 - 0.999 ** moments[2]) / (1 - 0.9 ** moments[2])
-            for k in p:
-                d = np.clip(g[k] / n, -1, 1)
-                moments[0][k] += 0.1 * (d - moments[0][k])
-                moments[1][k] += 0.001 * (d * d - moments[1][k])
-                p[k] -= (rate * fix * moments[0][k] / (np.sqrt(moments[1][k]) + 1e-8)).astype(np.float32)
+    flat = np.concatenate([p[k].ravel() for k in sorted(p)])
+    now, grad = _views(flat, p), np.empty_like(flat)
+    g, spare = _views(grad, p), np.empty_like(flat)
+    moments = moments or [np.zeros_like(flat), np.zeros_like(flat), 0]
+    mean, square = moments[:2]
+    docs = [docs[i] for i in np.random.default_rng(len(docs)).permutation(len(docs)) if len(docs[i])]
+    h = np.zeros((0, hidden), np.float32)
+    for t, x, y, fresh in _streams(docs, rows, size, end) if docs else ():
+        h = np.zeros((x.shape[1], hidden), np.float32) if t == 0 else h
+        grad[:] = 0
+        h = gradients(now, bounds, x, y, fresh, h, g)
+        grad *= 1 / y.size
+        np.clip(grad, -1, 1, out=grad)
+        moments[2] += 1
+        fix = np.sqrt(1 - 0.999 ** moments[2]) / (1 - 0.9 ** moments[2])
+        mean *= 0.9
+        mean += np.multiply(grad, 0.1, out=spare)
+        grad *= grad
+        square *= 0.999
+        square += np.multiply(grad, 0.001, out=spare)
+        np.sqrt(square, out=spare)
+        spare += 1e-8
+        np.divide(mean, spare, out=spare)
+        spare *= rate * fix
+        flat -= spare
+    for k, v in now.items():
+        p[k][...] = v
     return moments
 
 

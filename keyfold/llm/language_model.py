@@ -6,8 +6,10 @@ times the word's own share among the rare (add-one).  Counts of frequent words t
 code (their number is a parameter); rare words are joined with the count table.
 
 The model starts as a unigram, takes a first pass over a bounded number of documents in one
-task, then every partition goes on from there with all of its training documents (or a share
-of them) and the results are averaged in a tree.
+task, then every partition goes on from there with all of its training documents and the
+results are averaged in a tree.  In training the documents of a slice stand one behind the
+other in parallel streams, so that every window is full; scores carry the state through each
+whole document.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ class Vocabulary:
         return np.where(hit, self.ids[at], self.unknown), np.where(hit, self.c[at], -1)
 
 
-def _trainer(vocabulary: Vocabulary, shape: gru.Params, passes: int, rows: int = 32):
+def _trainer(vocabulary: Vocabulary, shape: gru.Params, passes: int, rows: int, rate: float):
     def run(batches):
         p, moments, n = {k: v.copy() for k, v in shape.items()}, None, 0
         for batch in batches:
@@ -92,7 +94,7 @@ def _trainer(vocabulary: Vocabulary, shape: gru.Params, passes: int, rows: int =
                 docs = [ids[a:b] for a, b in zip(first[:-1], first[1:])]
                 n += sum(map(len, docs))
                 for _ in range(passes):
-                    moments = gru.train(p, vocabulary.bounds, docs, vocabulary.end, rows, moments=moments) if docs else moments
+                    moments = gru.train(p, vocabulary.bounds, docs, vocabulary.end, rows, rate=rate, moments=moments)
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([gru.pack(p)], pa.binary())], names=["part", "n", "model"])
@@ -121,38 +123,52 @@ def _average(models: DataFrame, fan: int, scratch: Scratch, groups: int) -> byte
     return bytes(row["model"]) if row else None
 
 
-def fit(docs: DataFrame, scratch: Scratch, frequent: int, modelled: int, n_classes: int, width: int, hidden: int, first_docs: int, share: int):
+def _most_frequent(counts: DataFrame, most: int):
+    """Words of the highest counts, at most `most` of them: whole classes of like count, so that no task sorts all words."""
+    steps = 16  # classes to a doubling
+    of = F.floor(F.log2(F.col("c").cast("double")) * steps).cast("int")
+    taken, least = 0, None
+    for r in counts.groupBy(of.alias("k")).count().orderBy(F.desc("k")).collect():  # at most 64 * steps rows
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["k"]
+    return counts.where(of >= least if least is not None else F.lit(False)).toPandas()
+
+
+def fit(docs: DataFrame, scratch: Scratch, frequent: int, modelled: int, n_classes: int, width: int, hidden: int, first_docs: int, rows: int, rate: float):
     """(vocabulary, parameters, count table) from docs with a text column, all of them training documents."""
     counts = scratch.save(docs.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toPandas()
+    n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.sum(F.when(F.col("h") == int(END), F.col("c")))).first()
+    top = _most_frequent(counts, frequent)
     vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), modelled, int(n), int(v), n_classes)
     p = gru.start(vocabulary.counts, vocabulary.bounds, width, hidden)
     if not v:
         return vocabulary, p, counts
-    some = docs.orderBy(F.xxhash64("doc_id")).limit(first_docs).select("text").coalesce(1)
-    run, schema = _trainer(vocabulary, p, 2)
+    # About first_docs documents by a hash, without a sort; no more than twice as many if doc_ids repeat.
+    chance = min(1.0, first_docs / int(ends))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(chance * (1 << 31))).select("text").limit(2 * first_docs)
+    run, schema = _trainer(vocabulary, p, 2, min(rows, 32), rate / 2)
     row = some.mapInArrow(run, schema).first()
     p = gru.unpack(bytes(row["model"]), p) if row else p
-    run, schema = _trainer(vocabulary, p, 1, 128)
-    models = scratch.save(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInArrow(run, schema), "models")
+    run, schema = _trainer(vocabulary, p, 1, rows, rate)
+    models = scratch.save(docs.select("text").mapInArrow(run, schema), "models")
     parts = models.agg(F.max("part")).first()[0]
     mean = _average(models, 16, scratch, parts + 1) if parts is not None else None
     return vocabulary, gru.unpack(mean, p) if mean else p, counts
 
 
-def score(docs: DataFrame, frequent: int = 100_000, modelled: int = 1500, n_classes: int = 36, width: int = 16, hidden: int = 24, first_docs: int = 400, share: int = 1) -> DataFrame:
+def score(docs: DataFrame, frequent: int = 100_000, modelled: int = 4000, n_classes: int = 60, width: int = 16, hidden: int = 24, first_docs: int = 400, rows: int = 128, rate: float = 6e-3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
-    Counts and gradients cover every training document; with `share` above 1, one in `share`
-    of them (by a hash of doc_id) gives gradients.  Null and empty texts are one end token.  A null doc_id is not held out;
+    Counts and gradients cover every training document.  Null and empty texts are one end token.  A null doc_id is not held out;
     repeated rows count and are scored each; other columns are ignored.  With no training
     documents nothing is known and the scores are uniform.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "language-model")
     t = texts(docs)
-    vocabulary, p, counts = fit(t.where(~_held_out(F.col("doc_id"))), scratch, frequent, modelled, n_classes, width, hidden, first_docs, share)
+    vocabulary, p, counts = fit(t.where(~_held_out(F.col("doc_id"))), scratch, frequent, modelled, n_classes, width, hidden, first_docs, rows, rate)
     floor = np.log10(vocabulary.n + vocabulary.v + 1.0)
     rare_floor = np.log10(vocabulary.rare_n + vocabulary.rare_v + 1.0)
 

@@ -46,7 +46,7 @@ def labels(spark):
 
 OPERATORS = {
     "near_dedup": lambda d, l: near_dedup.near_duplicates(d), "quality": lambda d, l: quality_rules.quality(d), "toxicity": lambda d, l: toxicity.score(d, l),
-    "substrings": lambda d, l: substring_dedup.dedup(d), "language_model": lambda d, l: language_model.score(d, first_docs=20, share=2), "fingerprint": lambda d, l: fingerprint.fingerprint_edits(d),
+    "substrings": lambda d, l: substring_dedup.dedup(d), "language_model": lambda d, l: language_model.score(d, first_docs=20, modelled=300), "fingerprint": lambda d, l: fingerprint.fingerprint_edits(d),
     "secrets": lambda d, l: secrets.scan(d), "token_file": lambda d, l: token_file.round_trip(d, vocabulary("word_bpe_49k.json")), "mixing": lambda d, l: mixing.mix(d),
 }
 
@@ -196,7 +196,7 @@ def test_substrings(docs, texts, hot):
 
 
 def test_language_model(docs, texts):
-    out = language_model.score(docs, frequent=500, modelled=100, first_docs=20, share=2).collect()
+    out = language_model.score(docs, frequent=500, modelled=100, first_docs=20).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     words = [(i, [*WORD.findall(t.translate(LOW)), None]) for i, t in texts]
     c = collections.Counter(w for i, ws in words if not held(i) for w in ws)
@@ -220,21 +220,57 @@ def test_model_learns_from_every_training_document(spark, docs):
     assert sum(r.score for r in rest) > sum(r.base_score for r in rest)
 
 
-def test_gradients():
-    """Backpropagation agrees with differences, and windows with whole documents."""
+def small_model():
     counts = np.array([5.0, 4, 3, 2, 1, 1])
     order, bounds = gru.classes(counts, 3)
     p = gru.start(counts[order], bounds, 4, 5)
-    p = {k: (v + 0.1 * np.random.default_rng(1).standard_normal(v.shape)).astype(np.float32) for k, v in p.items()}
+    return {k: v + 0.3 * np.random.default_rng(1).standard_normal(v.shape) for k, v in p.items()}, bounds
+
+
+def test_gradients_agree_with_differences():
+    """Over windows that hold beginnings of documents and a state from before."""
+    p, bounds = small_model()
+    g = np.random.default_rng(4)
+    x, y, fresh = g.integers(0, 6, (7, 3)), g.integers(0, 6, (7, 3)), g.random((7, 3)) < 0.3
+    h = g.uniform(-0.5, 0.5, (3, 5))
+
+    def loss(q):
+        s, out = h, 0.0
+        table = q["E"] @ q["Wx"] + q["b"]
+        for t in range(len(x)):
+            s = gru._states(q, table[x[t : t + 1]].astype(np.float64), np.where(fresh[t][:, None], 0, s))[-1].astype(np.float64)
+            out -= gru._output(q, bounds, s, y[t])[0].sum()
+        return out
+
+    grads = {k: np.zeros(v.shape) for k, v in p.items()}
+    gru.gradients({k: v.astype(np.float32) for k, v in p.items()}, bounds, x, y, fresh, h.astype(np.float32), grads)
+    for k, v in p.items():
+        for at in [tuple(g.integers(0, n) for n in v.shape) for _ in range(6)]:
+            step = np.zeros(v.shape)
+            step[at] = 1e-2
+            near = (loss(p | {k: v + step}) - loss(p | {k: v - step})) / 2e-2
+            assert abs(near - grads[k][at]) < 2e-2 * max(1, abs(near)), (k, at)
+
+
+def test_windows_agree_with_whole_documents():
+    p, bounds = small_model()
     docs = [np.array([1, 2, 3, 4, 5, 0]), np.array([2, 0])]
     a = gru.log_likelihoods(p, bounds, docs, 0, size=2)
     assert np.allclose(a, gru.log_likelihoods(p, bounds, docs, 0, size=50), atol=1e-4)
-    q = {k: v.copy() for k, v in p.items()}
+    q = {k: v.astype(np.float32) for k, v in p.items()}
     for _ in range(60):
         gru.train(q, bounds, docs, 0, rate=0.02)
     assert gru.log_likelihoods(q, bounds, docs, 0).sum() > a.sum()
 
 
+def test_streams_hold_every_token_once():
+    g = np.random.default_rng(9)
+    docs = [g.integers(1, 9, int(n)) for n in g.integers(1, 40, 50)]
+    seen = [(a, b, f) for _, x, y, fresh in gru._streams(docs, 7, 5, 0) for a, b, f in zip(x.ravel(), y.ravel(), fresh.ravel())]
+    want = [(d[k - 1] if k else 0, d[k], k == 0) for d in docs for k in range(len(d))]
+    assert collections.Counter(seen) == collections.Counter(want)
+
+
 def test_fingerprints(docs, texts):
     out = fingerprint.fingerprint_edits(docs, buckets=5).collect()
     order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
