@@ -2,8 +2,8 @@
 
 Each partition packs its own documents.  A fixed number of bins is open; which free spaces
 occur among them is a bitset, so the fitting bin with the least room is one shift and one
-lowest bit away.  With all bins open and none fitting, the fullest closes.  Pieces of a
-lookahead buffer are placed from long to short.  Nothing is shuffled, and what a lost executor
+lowest bit away.  With all bins open and none fitting, the fullest closes.  Pieces are placed
+as they come; none is held back or placed anew.  Nothing is shuffled, and what a lost executor
 had packed is packed again in the same way from the same input split.
 """
 
@@ -68,7 +68,7 @@ def pieces(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((a, capacity) for a in range(head, total, capacity))]
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, most_open: int = 1024, lookahead: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, most_open: int = 1024, batch_rows: int = 8192) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone.  A null doc_id is kept as null; repeated rows
@@ -78,13 +78,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     def run(batches):
         coder, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         bins = Bins(capacity, most_open, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
-        held: list[tuple] = []
+        rows: list[tuple] = []
 
         def flush():
-            held.sort(key=lambda x: -x[3])
-            rows = [(*x, *((bins.new(), 0) if x[3] == capacity else bins.place(x[3]))) for x in held]
-            held.clear()
             cols = list(zip(*rows)) if rows else [[]] * 7
+            rows.clear()
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
@@ -94,8 +92,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
                 for k, raw in enumerate(coder.encode(part)):
                     raw += end
                     for n, (a, size) in enumerate(pieces(len(raw) // 4, capacity)):
-                        held.append((ids[first + k], n, a, size, zlib.crc32(raw[4 * a : 4 * (a + size)])))
-                    if len(held) >= lookahead:
+                        at = (bins.new(), 0) if size == capacity else bins.place(size)
+                        rows.append((ids[first + k], n, a, size, zlib.crc32(raw[4 * a : 4 * (a + size)]), *at))
+                    if len(rows) >= batch_rows:
                         yield flush()
         yield flush()
 
