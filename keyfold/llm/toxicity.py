@@ -1,16 +1,19 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
-Text is folded first: case, accents, look-alike letters of other scripts and digits put for
-letters.  Lexicon entries are words and beginnings of words that labelled toxic documents use
-far more often than clean ones; their weights are log odds.  Phrases around an entry that occur
-in clean documents only are exceptions.  The sum of weights, plain and by length, gives the
-score through a logistic fit.
+Text is folded first: case, accents, look-alike letters of other scripts, digits put for
+letters; signs and blanks between words become one blank.  Lexicon entries are words, and
+beginnings of words of 4 to 8 letters, that labelled toxic documents use far more often than
+clean ones; their weights are log odds.  Phrases around an entry that occur in clean documents
+only are exceptions.  The sum of weights, plain and by length, gives the score through a
+logistic fit.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +42,21 @@ _FOLD = str.maketrans({chr(k): v for k, v in _table().items()})
 
 
 def fold(text: str) -> str:
-    """The text as folded words between single or more spaces, with one at either end."""
-    return f" {text.translate(_FOLD)} "
+    """The text as folded words between single spaces, with one at either end; " " if it has none."""
+    words = text.translate(_FOLD).split()
+    return f" {' '.join(words)} " if words else " "
 
 
 def _held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: Lengths of the beginnings of words that may be entries; shorter ones fit too much, longer ones add little to whole words.
+BEGINNINGS = range(4, 9)
+
+
 def _terms(word: str) -> set[str]:
-    return {f" {word} ", *(f" {word[:n]}" for n in range(4, min(len(word), 9)))}
+    return {f" {word} ", *(f" {word[:n]}" for n in BEGINNINGS if n < len(word))}
 
 
 def _count_terms(batches):
@@ -56,7 +64,7 @@ def _count_terms(batches):
         toxic: Counter = Counter()
         every: Counter = Counter()
         for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            found = set().union(*map(_terms, {w for w in fold(text or "").split() if 3 <= len(w) <= 40}))
+            found = set().union(*map(_terms, set(fold(text or "").split())))
             every.update(found)
             if label:
                 toxic.update(found)
@@ -83,14 +91,24 @@ class Matcher:
         if not self.any:
             return []
         best: dict[int, tuple[int, float]] = {}
-        spared = []
+        spared: list[tuple[int, int]] = []
         for end, (n, w) in self.found.iter(folded):
             a = end - n + 1
             if w is None:
                 spared.append((a, end + 1))
             elif a not in best or n > best[a][0] - a:
                 best[a] = (end + 1, w)
-        return [(a, b, w) for a, (b, w) in best.items() if not any(s <= a and b <= e for s, e in spared)]
+        if not spared:
+            return [(a, b, w) for a, (b, w) in best.items()]
+        spared.sort()
+        begins = [a for a, _ in spared]
+        reach = list(accumulate((e for _, e in spared), max))  # how far any exception reaches that begins there or before
+        out = []
+        for a, (b, w) in best.items():
+            k = bisect_right(begins, a)
+            if not k or reach[k - 1] < b:
+                out.append((a, b, w))
+        return out
 
 
 def _features(matcher: Matcher, text: str | None) -> tuple[float, float]:
@@ -98,7 +116,7 @@ def _features(matcher: Matcher, text: str | None) -> tuple[float, float]:
     total = sum(w for _, _, w in matcher.hits(f))
     if not total:
         return 0.0, 0.0
-    return float(np.log1p(total)), float(np.log1p(100 * total / (f.count(" ") + 1)))
+    return float(np.log1p(total)), float(np.log1p(100 * total / f.count(" ")))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 50) -> np.ndarray:
@@ -114,8 +132,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 50
     return b
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = 10_000, entries: int = 2000, least: int = 4, ratio: float = 10.0):
-    """(matcher's weights, exceptions, logistic coefficients) from at most bound labelled rows, the lowest by hash of doc_id."""
+def learn(docs: DataFrame, labels: DataFrame, bound: int = 10_000, least: int = 4, ratio: float = 10.0):
+    """(matcher's weights, exceptions, logistic coefficients) from at most bound labelled rows, the lowest by hash of doc_id.
+
+    Entries stand in `least` toxic documents or more, and are `ratio` times likelier there; there
+    are as many as the sample has.
+    """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id")).limit(bound)
@@ -129,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 10_000, entries: int
     counts = sample.mapInArrow(_count_terms, "term string, docs long, toxic long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     odds = (F.col("toxic") + 0.5) / n1 / ((F.col("docs") - F.col("toxic") + 0.5) / n0)
     best = counts.where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") >= ratio)
-    best = best.orderBy(F.desc(F.col("toxic") * F.log("odds")), F.length("term"), "term").limit(entries).collect()
+    best = best.orderBy(F.desc(F.col("toxic") * F.log("odds")), F.length("term"), "term").collect()  # terms of the bounded sample
     weights: dict[str, float] = {}
     reach: dict[str, int] = {}
     for r in best:
@@ -144,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 10_000, entries: int
             out: Counter = Counter()
             bad: Counter = Counter()
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                f = " ".join(["", *fold(text or "").split(), ""])
+                f = fold(text or "")
                 for a, b, _ in m.hits(f):
                     end = f.find(" ", max(b - 1, a + 1))
                     before, after = f.rfind(" ", 0, a), f.find(" ", end + 1)
@@ -154,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 10_000, entries: int
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64()), pa.array([bad[p] for p in out], pa.int64())], names=["phrase", "n", "toxic"])
 
     seen = sample.mapInArrow(contexts, "phrase string, n long, toxic long").groupBy("phrase").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    exceptions = [r["phrase"] for r in seen.where("toxic = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(entries).collect()]
+    exceptions = [r["phrase"] for r in seen.where("toxic = 0 and n >= 3").orderBy(F.desc("n"), "phrase").collect()]
 
     def features(batches):
         m = Matcher(weights, exceptions)

@@ -156,7 +156,27 @@ def test_toxicity_on_held_out(spark):
 def test_folding():
     assert toxicity.fold("Ｉd1оT!").split() == ["idiot"]
     m = toxicity.Matcher({" scum": 3.0}, [" scum pond "])
-    assert m.hits(toxicity.fold("scum of")) and not m.hits(toxicity.fold("a scum pond")) and not m.hits(toxicity.fold("discum"))
+    assert m.hits(toxicity.fold("scum of")) and not m.hits(toxicity.fold("discum"))
+    for text in ("a scum pond", "a scum, pond", "a SCUM \n\t pond!", "scum   pond"):
+        assert not m.hits(toxicity.fold(text))
+    assert toxicity.fold(" a,  b\n") == " a b " and toxicity.fold("") == toxicity.fold(" \t!") == " "
+
+
+def test_exceptions_agree_with_every_pair():
+    g = np.random.default_rng(12)
+    entry = {f" {w}": 1.0 for w in ("ab", "abc", "bc", "ca")} | {" a ": 2.0}
+    spare = [" ab ca ", " a bc", " ca a ", " abc"]
+    m = toxicity.Matcher(entry, spare)
+    for _ in range(300):
+        f = toxicity.fold(" ".join("".join(g.choice(list("abc"), int(g.integers(1, 4)))) for _ in range(12)))
+        place = lambda t: [k for k in range(len(f)) if f.startswith(t, k)]
+        longest: dict = {}
+        for t in entry:
+            for k in place(t):
+                longest[k] = max(longest.get(k, ""), t, key=len)
+        spans = [(k, k + len(t)) for t in spare for k in place(t)]
+        want = {(k, k + len(t), entry[t]) for k, t in longest.items() if not any(a <= k and k + len(t) <= b for a, b in spans)}
+        assert set(m.hits(f)) == want
 
 
 def test_bwt():
@@ -384,6 +404,38 @@ def test_packing(docs, texts):
         assert [o for o, _ in x] == [sum(n for _, n in x[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 1024
 
 
+def test_packing_is_dense(spark):
+    out = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), vocabulary("byte_bpe_50k.json")).collect()
+    assert len({r.sequence_id for r in out}) <= 1.03 * sum(r.length for r in out) / 1024
+
+
+def test_bins_are_the_best_fit():
+    """Against a plain search of all open bins, with few bins open."""
+    g = np.random.default_rng(3)
+    bins, most = packing.Bins(100, 8, 0), 8
+    free: dict[int, int] = {}
+    new = 0
+    for n in g.integers(1, 101, 5000).tolist():
+        at, offset = bins.place(n)
+        fit = [f for f in free.values() if f >= n]
+        if fit:
+            assert free[at] == min(fit) and offset == 100 - free[at]
+        else:
+            if len(free) == most:
+                fullest = min(free.values())
+                gone = [k for k, f in free.items() if f == fullest]
+                shut = [k for k in gone if k not in {x for level in bins.by_free for x in level} and k != at]
+                assert len(shut) == 1
+                del free[shut[0]]
+            assert at == new and offset == 0
+            new += 1
+            free[at] = 100
+        free[at] -= n
+        if not free[at]:
+            del free[at]
+        assert {k: f for f, level in enumerate(bins.by_free) for k in level} == free
+
+
 def test_mixing(docs):
     out = mixing.mix(docs, leaf_rows=7, fan=3).collect()
     assert len(out) == docs.count()
