@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ._tables import Scratch
 
+ROWS_A_FILE = 250_000
+
 
 def _mark(df: DataFrame) -> tuple:
-    row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first()
-    return tuple(row)
+    """(rows, a hash of them)"""
+    return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % F.lit(1 << 31)), F.lit(0))).first())
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -22,6 +24,16 @@ def _minima(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.bitwise_not("u").alias("not_u")).agg(F.min("v").alias("m")).select(F.bitwise_not("not_u").alias("u"), "m")
 
 
+def _step(e: DataFrame) -> DataFrame:
+    """A large-star and a small-star step on edges (u, v)."""
+    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = _minima(both).select("u", F.least("m", "u").alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    small = large.join(_minima(large), "u").select(F.explode(pairs).alias("e")).select("e.u", "e.v")
+    return small.where("u <> v").distinct()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component): component is the smallest node reachable over edges (u, v).
 
@@ -32,21 +44,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     end and self-loops are ignored; repeated edges count once; no edges give no rows.
     """
     e = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    kept = f"{name}0"
+    kept, turn = f"{name}0", 0
     e = scratch.save(e, kept)
-    seen = None
-    turn = 0
-    while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _minima(both).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(_minima(large), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        turn += 1
-        e = scratch.save(small.where("u <> v").distinct(), f"{name}{turn}")
+    mark, seen = _mark(e), None
+    while mark != seen and mark[0]:
+        e, seen, turn = _step(_step(e)), mark, turn + 1
+        e = scratch.save(e.coalesce(-(-mark[0] // ROWS_A_FILE)), f"{name}{turn}")
         scratch.drop(kept)
-        kept = f"{name}{turn}"
-        mark = _mark(e)
-        if mark == seen:
-            break
-        seen = mark
+        kept, mark = f"{name}{turn}", _mark(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -201,7 +201,7 @@ def _compare(rows: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch
     """
 
     def estimate(batches):
-        for t in _whole_groups(batches, "n", batch_rows, 1 << 62):
+        for t in _whole_groups(batches, "n", batch_rows, batch_shingles):
             ids, n, sketches = t.column("rep").to_numpy(), t.column("n").to_numpy(), _lists(t, "sketch")
             mark = mix(ids.view(np.uint64) + mix(np.array([s.sum(dtype=np.int64) for s in sketches]).view(np.uint64)))
             _, at = np.unique(mark, return_index=True)
@@ -235,7 +235,7 @@ def _compare(rows: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch
     return scratch.save(dealt.mapInArrow(verify, "u long, v long"), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, block_rows: int = 1000, block_shingles: int = 500_000, batch_rows: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, block_rows: int = 1000, block_shingles: int = 250_000, batch_rows: int = 256, batch_shingles: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Links pairs with 100 * |intersection| >= percent * |union| of their shingle sets and returns
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
     blocks = F.greatest(F.ceil(F.col("c") / block_rows), F.ceil(F.col("total") / block_shingles)).cast("int")
     heads = scratch.save(heads.select("v", "hub", blocks.alias("blocks")), "heads")
     member = lists.select("rep", "v").join(heads.select("v", "blocks"), "v").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    compare = lambda rows, name: _compare(rows, reps, docs, scratch, name, k, size, percent, batch_rows, block_shingles)
+    compare = lambda rows, name: _compare(rows, reps, docs, scratch, name, k, size, percent, batch_rows, batch_shingles)
 
     # Each list in blocks, the list's smallest document in each block: copies of it fall together in linear work.
     every = member.select(F.xxhash64("v", "own", F.lit(-1)).alias("g"), "rep")
