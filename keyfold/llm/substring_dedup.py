@@ -2,12 +2,15 @@
 
 Every window of 200 bytes has an anchor, the leftmost of its 24-byte grams with the smallest
 hash; equal windows have equal anchors at equal places.  Consecutive windows with one anchor
-form a span.  Spans that occur twice as a whole are repeated in all their windows.  For the
-others whose anchor occurs again, the spans' bytes are dealt out by anchor, one copy of each,
-and a Burrows-Wheeler transform of every bucket tells which windows occur again (see bwt).
-Anchors and spans only choose what to compare: a window is compared with every other window
-that could equal it.  Anchors with more than `hot` different spans are not put in one bucket;
-their windows are counted by hash, however many there are.
+form a span; equal spans are handled as one.  Where an anchor has several different spans,
+their bytes are dealt out by anchor and a Burrows-Wheeler transform of every bucket tells which
+windows occur again (see bwt).  Anchors and spans only choose what to compare: a window is
+compared with every other window that could equal it.
+
+Spans of one anchor that together are too long for a bucket are split: by half of the windows'
+places relative to the anchor, and by the bytes that all windows of a half have in common
+around it.  Equal windows stay together, and each turn doubles what those of a group share,
+until at the last all windows of a group are equal; so a group never outgrows a bucket.
 """
 
 from __future__ import annotations
@@ -76,8 +79,72 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, bucket_bytes: int = 1_000_000, hot: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(docs as doc_id, text, th; doc_id, th, begins, ends): the byte intervals to remove, by doc_id and text hash."""
+def _anchor(buf: np.ndarray, length: int, gram: int) -> int:
+    """Place of the anchor of the first window, and so of all windows of the span."""
+    at = np.arange(length - gram + 1)
+    grams = span_hash(prefix_hash(buf[:length]), at, at + gram)
+    return int(np.argmin(((grams >> _PLACE) << _PLACE) | at.astype(np.uint64)))
+
+
+#: A piece of a span whose windows are compared within `key`: windows first .. first + n of span (a, s), whose anchor is `at`
+#: bytes behind the first (-1: not yet looked up) and low .. high bytes behind each; known: no need to tell that they occur again.
+_PIECE = "key long, same long, a long, s long, first int, n int, at int, low int, high int, known boolean, bytes binary"
+
+
+def _halves(length: int, gram: int):
+    names = [x.split()[0] for x in _PIECE.split(", ")]
+    number = lambda seed, raw: int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=(seed & (2**64 - 1)).to_bytes(8, "little")).digest(), "little", signed=True)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                raw, at = r["bytes"], r["at"]
+                if at < 0:
+                    at = _anchor(np.frombuffer(raw, np.uint8), length, gram)
+                mid = (r["low"] + r["high"]) // 2
+                for low, high in ((r["low"], mid), (mid + 1, r["high"])):
+                    x, y = max(0, at - high), min(r["n"] - 1, at - low)
+                    if x <= y:
+                        part = raw[x : y + length]
+                        key = number(r["key"] ^ low, raw[at - low : at + length - high])  # what all windows of the half cover
+                        out.append((key, number(at - x, part), r["a"], r["s"], r["first"] + x, y - x + 1, at - x, low, high, r["known"], part))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 11, _KINDS)], names=names)
+
+    return run
+
+
+_KINDS = [*[pa.int64()] * 4, *[pa.int32()] * 5, pa.bool_(), pa.binary()]
+
+
+def _bounded(work: DataFrame, scratch: Scratch, length: int, gram: int, group_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(pieces by key, no key with more than group_bytes of different ones; (a, s, x, y) of windows found to occur again on the way)."""
+    done, found, turn = [], [], 0
+    while True:
+        work = scratch.save(work, f"pieces{turn}")
+        size = F.sum(F.length("bytes"))
+        big = work.where("low < high").groupBy("key").agg(size.alias("size")).where(F.col("size") > group_bytes).select("key")
+        big = scratch.save(big, f"big{turn}")
+        if big.isEmpty():
+            done.append(work)
+            break
+        done.append(work.join(big, "key", "left_anti").select(*work.columns))
+        halves = scratch.save(work.join(big, "key").select(*work.columns).mapInArrow(_halves(length, gram), _PIECE), f"halves{turn}")
+        often = halves.groupBy("key", "same").agg(F.count("*").alias("m")).where("m > 1").select("key", "same")
+        found.append(halves.where("not known").join(often, ["key", "same"]).select("a", "s", F.col("first").alias("x"), (F.col("first") + F.col("n")).alias("y")))
+        one = F.min(F.struct("a", "s", "first")).alias("one")
+        rest = [F.first(c).alias(c) for c in ("n", "at", "low", "high", "bytes")]
+        work = halves.groupBy("key", "same").agg(one, *rest, (F.bool_or("known") | (F.count("*") > 1)).alias("known"))
+        work = work.select("key", "same", "one.a", "one.s", "one.first", "n", "at", "low", "high", "known", "bytes")
+        turn += 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    return out, found
+
+
+def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, bucket_bytes: int = 1_000_000, group_bytes: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """(docs as doc_id, text, th; doc_id, th, x: the byte intervals (begin, end) to remove), by doc_id and text hash."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")
     t = texts(docs).withColumn("th", F.xxhash64("text"))
@@ -95,27 +162,31 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, bucket_by
     cand = scratch.save(seg.join(multi, "a"), "candidates")
     scratch.drop("spans", "anchors")
     kinds = scratch.save(cand.groupBy("a", "s").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("rep")), "kinds")
-    per = kinds.groupBy("a").agg(F.count("*").alias("different"), F.min("c").alias("least")).where("different > 1 and least = 1").select("a", "different")
-    open_ = kinds.join(per, "a").select("a", "s", "c", "n", "different", "rep.doc_id", "rep.th", "rep.lo")
-    by_doc = open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "s", "c", "lo", "n", "different")).alias("x"))
-    by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), *(F.col(f"x.{k}").alias(k) for k in ("a", "s", "c", "lo", "n", "different")))
+    # Grouped by the complement for the same reason: the join shuffles both sides anew.
+    per = kinds.groupBy(F.bitwise_not("a").alias("not_a")).agg(F.count("*").alias("different"), F.min("c").alias("least"))
+    per = per.where("different > 1 and least = 1").select(F.bitwise_not("not_a").alias("a"))
+    open_ = kinds.join(per, "a").select("a", "s", "c", "n", "rep.doc_id", "rep.th", "rep.lo")
+    by_doc = open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "s", "c", "lo", "n")).alias("x"))
+    by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), *(F.col(f"x.{k}").alias(k) for k in ("a", "s", "c", "lo", "n")))
     same = lambda d, h: F.col("doc_id").eqNullSafe(F.col(d)) & F.col("th").eqNullSafe(F.col(h))
     once = t.join(by_doc, same("d", "h"))  # repeated rows give repeated contexts, dropped below
 
     def cut(batches):
         for batch in batches:
             text = [x.encode() for x in batch.column(0).to_pylist()]
-            lists = [batch.column(k) for k in range(1, 7)]
+            lists = [batch.column(k) for k in range(1, 6)]
             per_row = np.diff(lists[0].offsets.to_numpy())
             flat = [x.flatten() for x in lists]
             lo, n = flat[3].to_numpy(), flat[4].to_numpy()
             of = np.repeat(np.arange(len(text)), per_row)
             bytes_ = [text[r][a : a + k + length - 1] for r, a, k in zip(of.tolist(), lo.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([flat[0], flat[1], flat[2], flat[4], flat[5], pa.array(bytes_, pa.binary())], names=["a", "s", "c", "n", "different", "bytes"])
+            yield pa.RecordBatch.from_arrays([flat[0], flat[1], flat[2], flat[4], pa.array(bytes_, pa.binary())], names=["a", "s", "c", "n", "bytes"])
 
-    ctx = once.select("text", "a", "s", "c", "lo", "n", "different").mapInArrow(cut, "a long, s long, c long, n int, different long, bytes binary")
-    ctx = scratch.save(ctx, "contexts")
-    size = ctx.where(F.col("different") <= hot).agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
+    ctx = once.select("text", "a", "s", "c", "lo", "n").mapInArrow(cut, "a long, s long, c long, n int, bytes binary").dropDuplicates(["a", "s"])
+    whole = lambda x: F.lit(x).cast("int")
+    ctx = ctx.select(F.col("a").alias("key"), F.col("s").alias("same"), "a", "s", whole(0).alias("first"), "n", whole(-1).alias("at"), whole(0).alias("low"), whole(length - gram).alias("high"), (F.col("c") > 1).alias("known"), "bytes")
+    pieces, found = _bounded(ctx, scratch, length, gram, group_bytes)
+    size = pieces.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(size) // bucket_bytes))
 
     def look(key, table):
@@ -127,45 +198,34 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, bucket_by
             text[at : at + len(r)] = np.frombuffer(r, np.uint8).astype(np.int64) + 1
             at += len(r) + 1
         again = repeated_starts(text, length)
-        a, s, lo, hi = [], [], [], []
-        for k, (b, n, c) in enumerate(zip(begin, table.column("n").to_pylist(), table.column("c").to_pylist())):
-            if c > 1:
+        a, lo, hi = [], [], []
+        for k, (b, n, first, known) in enumerate(zip(begin, *(table.column(c).to_pylist() for c in ("n", "first", "known")))):
+            if known:
                 continue
             for x, y in zip(*_runs(again[b : b + n])):
                 a.append(k)
-                lo.append(x)
-                hi.append(y)
+                lo.append(first + x)
+                hi.append(first + y)
         take = pa.array(a, pa.int64())
         return pa.table({"a": table.column("a").take(take), "s": table.column("s").take(take), "x": pa.array(lo, pa.int32()), "y": pa.array(hi, pa.int32())})
 
-    cold = ctx.where(F.col("different") <= hot).withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets))).dropDuplicates(["a", "s"])
-    part = cold.groupBy("bucket").applyInArrow(look, "a long, s long, x int, y int")
-
-    def windows(batches):
-        for batch in batches:
-            for k, raw in enumerate(batch.column(4).to_pylist()):
-                buf = np.frombuffer(raw, np.uint8)
-                n = batch.column(3)[k].as_py()
-                at = np.arange(n)
-                h = span_hash(prefix_hash(buf), at, at + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(0)[k].as_py())), pa.array(np.full(n, batch.column(1)[k].as_py())), pa.array(np.full(n, batch.column(2)[k].as_py())), pa.array(at.astype(np.int32)), pa.array(h)], names=["a", "s", "c", "x", "w"])
-
-    heat = ctx.where(F.col("different") > hot).dropDuplicates(["a", "s"]).select("a", "s", "c", "n", "bytes").mapInArrow(windows, "a long, s long, c long, x int, w long")
-    often = heat.groupBy("a", "w").agg(F.count("*").alias("m")).where("m > 1").select("a", "w")
-    warm = heat.join(often, ["a", "w"]).where("c = 1").select("a", "s", "x", (F.col("x") + 1).alias("y"))
-    part = part.union(warm)
+    dealt = pieces.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "a", "s", "first", "n", "known", "bytes")
+    part = dealt.groupBy("bucket").applyInArrow(look, "a long, s long, x int, y int")
+    for f in found:
+        part = part.union(f)
 
     first = kinds.where("c = 1").select(F.col("a").alias("ka"), F.col("s").alias("ks"), "rep.doc_id", "rep.th", "rep.lo")
     partial = part.join(first, (F.col("a") == F.col("ka")) & (F.col("s") == F.col("ks"))).select("doc_id", "th", (F.col("lo") + F.col("x")).alias("begin"), (F.col("lo") + F.col("y") + length - 1).alias("end"))
-    whole = cand.join(kinds.where("c > 1").select("a", "s"), ["a", "s"]).select("doc_id", "th", F.col("lo").alias("begin"), (F.col("lo") + F.col("n") + length - 1).alias("end"))
-    gone = whole.union(partial).groupBy("doc_id", "th").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    every = cand.join(kinds.where("c > 1").select("a", "s"), ["a", "s"]).select("doc_id", "th", F.col("lo").alias("begin"), (F.col("lo") + F.col("n") + length - 1).alias("end"))
+    # A set: rows that repeat a document have its spans once.
+    gone = every.union(partial).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("x"))
     gone = scratch.save(gone, "gone")
-    scratch.drop("candidates", "contexts", "kinds")
+    scratch.drop("candidates", "kinds")
     return t, gone
 
 
 def _join(t: DataFrame, gone: DataFrame) -> DataFrame:
-    g = gone.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "begins", "ends")
+    g = gone.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("x.begin").alias("begins"), F.col("x.end").alias("ends"))
     return t.join(g, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left").select("doc_id", "text", "begins", "ends")
 
 

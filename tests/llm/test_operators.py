@@ -188,31 +188,48 @@ def test_bwt():
         assert all(got[i] == (c[tuple(t[i : i + k])] > 1) for i in range(len(t) - k + 1))
 
 
-@pytest.mark.parametrize("hot", [10_000, 1])
-def test_substrings(docs, texts, hot):
+def brute_substrings(texts, n=200):
     count = collections.Counter()
     for _, t in texts:
         raw = t.encode()
-        count.update(raw[k : k + 200] for k in range(len(raw) - 199))
-    want = collections.Counter()
+        count.update(raw[k : k + n] for k in range(len(raw) - n + 1))
     for i, t in texts:
         raw = t.encode()
         edge = np.zeros(len(raw) + 1, int)
-        for k in range(len(raw) - 199):
-            if count[raw[k : k + 200]] > 1:
+        for k in range(len(raw) - n + 1):
+            if count[raw[k : k + n]] > 1:
                 edge[k] += 1
-                edge[k + 200] -= 1
+                edge[k + n] -= 1
         gone = np.cumsum(edge)[: len(raw)] > 0
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        want[(i, len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())] += 1
-    if hot == 1:
-        t, gone = substring_dedup.repeated_bytes(docs, hot=1)
-        n = {(i, b - k) for i, b, k, *_ in want}
-        rows = substring_dedup._join(t, gone).collect()
-        assert {(r.doc_id, len(substring_dedup._kept((r.text or "").encode(), r.begins, r.ends)[1])) for r in rows} == n
-    else:
-        assert want == collections.Counter(tuple(r) for r in substring_dedup.dedup(docs).collect())
+        yield i, len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()
+
+
+def test_substrings(docs, texts):
+    assert collections.Counter(brute_substrings(texts)) == collections.Counter(tuple(r) for r in substring_dedup.dedup(docs).collect())
+
+
+@pytest.mark.parametrize("group_bytes", [2_000_000, 20_000, 0])
+def test_common_anchors_are_split(spark, group_bytes):
+    """A passage in many documents, of which some share more of what stands around it; down to groups of equal windows."""
+    g = np.random.default_rng(21)
+    word = lambda n: "".join(g.choice(list("abcdefghij "), n))
+    core, tails = word(150), [word(120) for _ in range(4)]
+    rows = [(i, word(int(g.integers(0, 90))) + core + tails[int(g.integers(4))][: int(g.integers(30, 120))] + word(60)) for i in range(120)]
+    rows += [(500, rows[3][1]), (501, core), (502, core + "z" * 400), (502, core + "z" * 400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    t, gone = substring_dedup.repeated_bytes(d, group_bytes=group_bytes)
+    got = collections.Counter()
+    for r in substring_dedup._join(t, gone).collect():
+        cover, kept = substring_dedup._kept(r.text.encode(), r.begins, r.ends)
+        got[(r.doc_id, len(r.text.encode()), sum(b - a for a, b in cover), len(cover), hashlib.sha256(kept).hexdigest())] += 1
+    assert got == collections.Counter(brute_substrings(rows))
+
+
+def test_remove_repeats_keeps_the_rest(docs):
+    kept = collections.Counter((r.doc_id, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.remove_repeats(docs).collect())
+    assert kept == collections.Counter((r.doc_id, r.kept_sha256) for r in substring_dedup.dedup(docs).collect())
 
 
 def test_language_model(docs, texts):
