@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     e = scratch.save(e, kept)
     mark, seen = _mark(e), None
     while mark != seen and mark[0]:
-        e, seen, turn = _step(_step(e)), mark, turn + 1
+        e, seen, turn = _step(e), mark, turn + 1
         e = scratch.save(e.coalesce(-(-mark[0] // ROWS_A_FILE)), f"{name}{turn}")
         scratch.drop(kept)
         kept, mark = f"{name}{turn}", _mark(e)

@@ -6,15 +6,14 @@
 3. Retained values are inverted into lists.  Of each sketch only the rarest values are listed:
    two sketches that share at least `need` values must share one among the m - need + 1 rarest
    of each (m values in the sketch), so nothing is lost by leaving the frequent ones out, and
-   a passage that many documents quote makes no long list.  Lists hold sets of like size, and
-   one of several lists of the same documents is kept.
-4. Documents that share a list are overlaps.  The union sketch of two estimates their
-   similarity; who has no partner left drops out, the others are verified on their full
-   shingle sets.  Sketches travel with the lists, full sets only with what is left of them.
-5. A long list is cut into blocks, each of which also gets the list's smallest document, so
-   near copies by the thousand are one component after linear work.  Only blocks of a list
-   that is still in several components are compared with each other.
-6. Verified links are joined into components.
+   a passage that many documents quote makes no long list.
+4. Documents that share a list are overlaps.  Each meets the smallest document of its lists and,
+   block by block, the others that do; the union sketch of two estimates their similarity, and
+   those that it does not rule out are joined to clusters.  Only sketches travel for this.
+5. Full shingle sets travel once, to their clusters, where links are verified.
+6. Groups, whether of a list's smallest document or clusters, are cut into blocks, each with the
+   group's smallest document, so that near copies by the thousand are one component after linear
+   work.  Where a group is still in several, what is not in the largest meets all blocks.
 
 `need` is exact for sets no larger than the sketch.  Beyond, a pair at the threshold is missed
 with a probability under 1e-9 (binomial tail over the union sketch).
@@ -132,7 +131,7 @@ def _overlaps(sets: list[np.ndarray], width: int = 1024) -> np.ndarray:
 
 
 def _alike(sketches: list[np.ndarray], n: np.ndarray, k: int, percent: int) -> np.ndarray:
-    """Mask of sketches that have a partner which the union sketch of both does not rule out."""
+    """Matrix of pairs that the union sketch of both does not rule out, each with itself too."""
     t = percent / 100
     shared = _overlaps(sketches)
     high = np.iinfo(np.int64).max
@@ -142,27 +141,28 @@ def _alike(sketches: list[np.ndarray], n: np.ndarray, k: int, percent: int) -> n
     union = np.where(top[:, None] <= top[None, :], own[:, None] + rank.T, rank + own[None, :]) - shared
     exact = (top == high)[:, None] & (top == high)[None, :]
     slack = np.where(exact, 0, 6.5 * np.sqrt(union * t * (1 - t)))
-    maybe = shared + slack + 1e-3 >= t * union
-    np.fill_diagonal(maybe, False)
-    return maybe.any(axis=1)
+    return shared + slack + 1e-3 >= t * union
 
 
-def _links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, smallest document it is joined with) of all that have links among the sets given."""
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     size = np.array([len(s) for s in sets], np.int64)
     both = _overlaps(sets).astype(np.int64)
-    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    return 100 * both >= percent * (size[:, None] + size[None, :] - both)
+
+
+def _star(ids: np.ndarray, linked: np.ndarray) -> pa.RecordBatch:
+    """(document, smallest document it is joined with) of all that are joined with a smaller one."""
     order = np.argsort(ids, kind="stable")
     ids, linked = ids[order], linked[np.ix_(order, order)]
     label = np.arange(len(ids))
     while True:
-        low = np.where(linked, label[None, :], len(ids)).min(axis=1)
-        low = low[low]
+        low = np.where(linked, label[None, :], len(ids)).min(axis=1, initial=len(ids))
+        low = np.minimum(low, label)[low] if len(low) else low
         if np.array_equal(low, label):
             break
         label = low
     keep = ids[label] != ids
-    return ids[keep], ids[label][keep]
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[label][keep])], names=["u", "v"])
 
 
 def _whole_groups(batches, weight: str, most_rows: int, most_weight: int):
@@ -193,49 +193,83 @@ def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def _compare(rows: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, name: str, k: int, size: int, percent: int, batch_rows: int, batch_shingles: int) -> DataFrame:
-    """Verified links (u, v) among rows (g, rep) with the same g, as a spanning star of each group met.
+class _Meetings:
+    """What compares the documents of a group: rows (g, rep) in, links (u, v) out, as stars; groups are met by the batch."""
 
-    Groups are met by the batch.  Sketches go first; full sets only of documents that have a
-    partner which the sketches do not rule out.
-    """
+    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, size: int, percent: int, batch_rows: int, batch_shingles: int):
+        self.docs, self.reps, self.k, self.size, self.percent, self.batch_rows, self.batch_shingles = docs, reps, k, size, percent, batch_rows, batch_shingles
 
-    def estimate(batches):
-        for t in _whole_groups(batches, "n", batch_rows, batch_shingles):
-            ids, n, sketches = t.column("rep").to_numpy(), t.column("n").to_numpy(), _lists(t, "sketch")
-            mark = mix(ids.view(np.uint64) + mix(np.array([s.sum(dtype=np.int64) for s in sketches]).view(np.uint64)))
-            _, at = np.unique(mark, return_index=True)
-            at.sort()
-            alike = at[_alike([sketches[i] for i in at], n[at], k, percent)] if len(at) > 1 else at[:0]
-            batch = t.column("g")[0].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(alike), batch)), pa.array(ids[alike])], names=["batch", "rep"])
-
-    def full(batches):
-        for b in batches:
-            ids, h1, h2, met, text = (b.column(b.schema.get_field_index(c)) for c in ("rep", "h1", "h2", "met", "text"))
-            for i, j, buf, offsets in slices(text):
-                sets = shingle_sets(buf, offsets, size)
-                a, c = set_hashes(sets)
-                # a doc_id may stand for several texts; the hashes tell which one is meant
-                own = np.flatnonzero((a == h1.slice(i, j - i).to_numpy()) & (c == h2.slice(i, j - i).to_numpy()))
-                take = pa.array(own + i)
-                yield pa.RecordBatch.from_arrays([ids.take(take), met.take(take), pa.array([len(sets[x]) for x in own], pa.int64()), list_array(np.concatenate([sets[x] for x in own]) if len(own) else np.empty(0, np.int64), [len(sets[x]) for x in own], pa.int64())], names=["rep", "met", "n", "members"])
-
-    def verify(batches):
-        for t in _whole_groups(batches, "n", batch_rows, batch_shingles):
-            u, v = _links(t.column("rep").to_numpy(), _lists(t, "members"), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    met = rows.join(reps.select("rep", "n", "sketch"), "rep").select("g", "rep", "n", "sketch")
-    met = met.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(estimate, "batch long, rep long")
-    found = scratch.save(met, f"{name}-estimated")
-    per = found.groupBy("rep").agg(F.collect_set("batch").alias("met")).join(reps.select("rep", "h1", "h2"), "rep")
-    sets = texts(docs).withColumnRenamed("doc_id", "rep").join(per, "rep").mapInArrow(full, "rep long, met array<long>, n long, members array<long>")
-    dealt = sets.select(F.explode("met").alias("batch"), "rep", "n", "members").repartition("batch").sortWithinPartitions("batch", "rep")
-    return scratch.save(dealt.mapInArrow(verify, "u long, v long"), f"{name}-links")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, block_rows: int = 1000, block_shingles: int = 250_000, batch_rows: int = 256, batch_shingles: int = 100_000) -> DataFrame:
+    def estimate(self, rows: DataFrame) -> DataFrame:
+        """Links that the sketches do not rule out."""
+        k, percent, most = self.k, self.percent, self.batch_rows
+
+        def run(batches):
+            for t in _whole_groups(batches, "n", most, 1 << 62):
+                ids, n, sketches = t.column("rep").to_numpy(), t.column("n").to_numpy(), _lists(t, "sketch")
+                mark = mix(ids.view(np.uint64) + mix(np.array([s.sum(dtype=np.int64) for s in sketches]).view(np.uint64)))
+                _, at = np.unique(mark, return_index=True)
+                at.sort()
+                yield _star(ids[at], _alike([sketches[i] for i in at], n[at], k, percent))
+
+        met = rows.join(self.reps.select("rep", "n", "sketch"), "rep").select("g", "rep", "n", "sketch")
+        return met.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(run, "u long, v long")
+
+    def verify(self, rows: DataFrame) -> DataFrame:
+        """Links by the full sets."""
+        size, percent, most, heavy = self.size, self.percent, self.batch_rows, self.batch_shingles
+
+        def full(batches):
+            for b in batches:
+                ids, h1, h2, met, text = (b.column(b.schema.get_field_index(c)) for c in ("rep", "h1", "h2", "met", "text"))
+                for i, j, buf, offsets in slices(text):
+                    sets = shingle_sets(buf, offsets, size)
+                    a, c = set_hashes(sets)
+                    # a doc_id may stand for several texts; the hashes tell which one is meant
+                    own = np.flatnonzero((a == h1.slice(i, j - i).to_numpy()) & (c == h2.slice(i, j - i).to_numpy()))
+                    take, n = pa.array(own + i), [len(sets[x]) for x in own]
+                    flat = np.concatenate([sets[x] for x in own]) if len(own) else np.empty(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([ids.take(take), met.take(take), pa.array(n, pa.int64()), list_array(flat, n, pa.int64())], names=["rep", "met", "n", "members"])
+
+        def run(batches):
+            for t in _whole_groups(batches, "n", most, heavy):
+                yield _star(t.column("rep").to_numpy(), _linked(_lists(t, "members"), percent))
+
+        per = rows.groupBy("rep").agg(F.collect_set("g").alias("met")).join(self.reps.select("rep", "h1", "h2"), "rep")
+        sets = texts(self.docs).withColumnRenamed("doc_id", "rep").join(per, "rep").mapInArrow(full, "rep long, met array<long>, n long, members array<long>")
+        dealt = sets.select(F.explode("met").alias("g"), "rep", "n", "members").repartition("g").sortWithinPartitions("g", "rep")
+        return dealt.mapInArrow(run, "u long, v long")
+
+
+def _components(member: DataFrame, compare, blocks, links: DataFrame | None, scratch: Scratch, name: str, block_rows: int) -> DataFrame:
+    """(node, component) of documents that the groups (group, rep, n) join by `compare`, or `links` besides.
+
+    A group is known by its smallest document.  Each of its blocks meets that document; where
+    the group is not one component then, the documents outside its largest one meet all blocks.
+    """
+    heads = scratch.save(member.groupBy("group").agg(blocks.cast("int").alias("blocks")), f"{name}-heads")
+    member = scratch.save(member.join(heads, "group").select("group", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")), f"{name}-members")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    large = heads.where("blocks > 1")
+    first = large.select("group", numbers("blocks").alias("own")).select(F.xxhash64("group", "own").alias("g"), F.col("group").alias("rep"))
+    found = scratch.save(compare(member.select(F.xxhash64("group", "own").alias("g"), "rep").union(first)), f"{name}-links")
+    found = found.union(links) if links is not None else found
+    joined = connected_components(found, scratch, f"{name}-joined")
+    if large.isEmpty():
+        return joined
+    of = member.where("blocks > 1").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    per = of.groupBy("group", "c").agg(F.count("*").alias("n"))
+    open_ = per.groupBy("group").agg(F.max_by("c", "n").alias("largest"), F.count("*").alias("parts"), F.ceil((F.sum("n") - F.max("n")) / block_rows).cast("int").alias("turns")).where("parts > 1")
+    open_ = scratch.save(open_.select("group", "largest", "turns"), f"{name}-open")
+    if open_.isEmpty():
+        return joined
+    of = of.join(open_, "group")
+    every = of.select("group", "own", numbers("turns").alias("turn"), "rep")
+    apart = of.where("c <> largest").withColumn("turn", F.pmod(F.xxhash64(F.lit(name), "rep"), F.col("turns")).cast("int")).select("group", numbers("blocks").alias("own"), "turn", "rep")
+    more = scratch.save(compare(every.union(apart).select(F.xxhash64("group", "own", "turn").alias("g"), "rep")), f"{name}-more")
+    return connected_components(found.union(more), scratch, f"{name}-all") if not more.isEmpty() else joined
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, block_rows: int = 1000, block_shingles: int = 500_000, batch_rows: int = 256, batch_shingles: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Links pairs with 100 * |intersection| >= percent * |union| of their shingle sets and returns
@@ -259,36 +293,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
     ranked = values.join(often, "v").groupBy("rep", "h1", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     required = F.when(F.col("m") <= whole, F.ceil(F.col("m") * percent / 100)).otherwise(F.lit(need))
     spare = F.greatest(F.lit(0), (F.col("m") - required + 1 - (F.col("m") - F.size("vs"))).cast("int"))
-    # Sizes of linked sets differ by one band at most, so a list is kept for each two neighbouring bands.
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + F.lit(1e-9)).cast("int")
-    listed = ranked.select("rep", "n", band.alias("band"), F.explode(F.slice("vs", F.lit(1), spare)).alias("x"))
-    listed = listed.select("rep", "n", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("v"))
-    lists = scratch.save(listed, "lists")
-    heads = lists.groupBy("v").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("rep").alias("hub"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("c > 1")
-    heads = heads.groupBy("c", "total", "hub", "mark").agg(F.min("v").alias("v"))  # lists of the same documents once
-    blocks = F.greatest(F.ceil(F.col("c") / block_rows), F.ceil(F.col("total") / block_shingles)).cast("int")
-    heads = scratch.save(heads.select("v", "hub", blocks.alias("blocks")), "heads")
-    member = lists.select("rep", "v").join(heads.select("v", "blocks"), "v").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    compare = lambda rows, name: _compare(rows, reps, docs, scratch, name, k, size, percent, batch_rows, batch_shingles)
-
-    # Each list in blocks, the list's smallest document in each block: copies of it fall together in linear work.
-    every = member.select(F.xxhash64("v", "own", F.lit(-1)).alias("g"), "rep")
-    hubs = heads.where("blocks > 1").select("v", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
-    links = compare(every.union(hubs.select(F.xxhash64("v", "own", F.lit(-1)), "hub")), "near")
+    lists = scratch.save(ranked.select("rep", "n", F.explode(F.slice("vs", F.lit(1), spare)).alias("x")).select("rep", "n", F.col("x.v").alias("v")), "lists")
+    hubs = scratch.save(lists.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("group")).where("c > 1").select("v", "group"), "hubs")
+    member = lists.join(hubs, "v").groupBy("group", "rep").agg(F.max("n").alias("n"))
+
+    meet = _Meetings(docs, reps, k, size, percent, batch_rows, batch_shingles)
+    rows = F.ceil(F.count("*") / block_rows)
+    clusters = _components(member, meet.estimate, rows, None, scratch, "near", block_rows)
+    member = clusters.select(F.col("component").alias("group"), F.col("node").alias("rep")).join(reps.groupBy("rep").agg(F.max("n").alias("n")), "rep")
     again = found.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("doc_id")
     several = found.join(again, "doc_id").join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links = links.union(several)
-    joined = connected_components(links, scratch, "joined")
-
-    # Blocks against blocks, of lists that are not yet one component.
-    large = heads.where("blocks > 1")
-    if not large.isEmpty():
-        of = member.where("blocks > 1").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        open_ = of.groupBy("v").agg(F.min(F.coalesce("component", "rep")).alias("a"), F.max(F.coalesce("component", "rep")).alias("b")).where("a <> b").select("v")
-        cross = member.join(scratch.save(open_, "open"), "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
-        more = compare(cross.select(F.xxhash64("v", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "rep"), "cross")
-        if not more.isEmpty():
-            joined = connected_components(links.union(more), scratch, "crossed")
+    joined = _components(member.select("group", "rep", "n"), meet.verify, F.greatest(rows, F.ceil(F.sum("n") / block_shingles)), several, scratch, "exact", block_rows)
 
     of = reps.select("h1", "h2", "n", "rep").join(joined.select(F.col("node").alias("rep"), F.col("component").alias("joined")), "rep", "left")
     of = scratch.save(of.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("kn"), F.coalesce("joined", "rep").alias("joined")), "result")

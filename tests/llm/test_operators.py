@@ -109,7 +109,7 @@ def test_intersections():
 
 
 def test_many_near_copies_are_one_component(spark):
-    """With lists of one block and of several."""
+    """With groups of one block and of several."""
     g = np.random.default_rng(6)
     base = [f"b{k}" for k in range(120)]
     rows = [(i, " ".join([*base[:60], f"x{i}", *base[60:]])) for i in range(400)] + [(1000 + i, " ".join(g.permutation(base)[:50])) for i in range(20)]
@@ -119,6 +119,23 @@ def test_many_near_copies_are_one_component(spark):
         assert all(out[i] == 0 for i in range(400)) and all(out[1000 + i] == 1000 + i for i in range(20))
 
 
+@pytest.mark.parametrize("block_rows", [1000, 5])
+def test_chains_over_several_blocks(spark, block_rows):
+    """Documents that drift away step by step: ends differ, neighbours link; blocks of a cluster must meet."""
+    rows = [(j * 1000 + i, " ".join(f"c{j}w{k}" for k in range(4 * i, 4 * i + 160))) for j in range(3) for i in range(60)]
+    rows += [(5000 + i, " ".join(f"c0w{k}" for k in range(4 * i, 4 * i + 40))) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(d, block_rows=block_rows, block_shingles=10**6, batch_rows=block_rows).collect()}
+    assert out == root and len(set(root.values())) < 30
+
+
 def test_quality(docs, texts):
     out = quality_rules.quality(docs).collect()
     want = collections.Counter()
