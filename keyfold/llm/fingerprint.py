@@ -14,10 +14,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import texts
+from ._tables import Scratch, texts
 from ._text import _BASE, _BASE_INVERSE, _powers, mix
 
 LEAST_LEVEL, KEPT = 3, 32
@@ -110,73 +111,86 @@ def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES_OUT = [x.split()[0] for x in _SCHEMA.split(", ")]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_EDGES = _SCHEMA + ", part int, edge int, text string"
+FIRST, LAST = 1, 2
 
 
-def _work(limit: int = 1 << 20):
-    names = [x.split()[0] for x in _SCHEMA.split(", ")]
+def _compared(ids: list, own: list[str], following: list[str]) -> list[tuple]:
+    """Result rows of texts, each with the text that follows it."""
+    halves = [len(t) // 2 for t in own]
+    edited = [(t[: len(t) - h] + n[:h]).encode() for t, h, n in zip(own, halves, following)]
+    raw = {t: k for k, t in enumerate(dict.fromkeys([*own, *following]))}  # most texts stand in both lists
+    prints = fingerprints([t.encode() for t in raw])
+    after = fingerprints(edited)
+    out = []
+    for i, t, n, e, f in zip(ids, own, following, edited, after):
+        a = prints[raw[t]]
+        out.append((i, len(t), hashlib.sha256(e).hexdigest(), text_of(a), text_of(f), likeness(a, f), likeness(a, prints[raw[n]])))
+    return out
 
-    def rows(batches):
-        for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("bucket", "late", "doc_id", "text")]
-            yield from zip(*cols)
-
-    def emit(held):
-        """held: rows in order, the last of which is next to the one before it."""
-        pairs = [(k, k + 1) for k in range(len(held) - 1) if held[k][0] == held[k + 1][0] and not held[k][1]]
-        raw = [h[3].encode() for h in held]
-        edited = []
-        for k, n in pairs:
-            text, half = held[k][3], len(held[k][3]) // 2
-            edited.append((text[: len(text) - half] + held[n][3][:half]).encode())
-        own = fingerprints(raw)
-        after = fingerprints(edited)
-        out = [
-            (held[k][2], len(held[k][3]), hashlib.sha256(e).hexdigest(), text_of(own[k]), text_of(f), likeness(own[k], f), likeness(own[k], own[n]))
-            for (k, n), e, f in zip(pairs, edited, after)
-        ]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        cols = list(zip(*out)) if out else [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+def _table(rows: list[tuple], edges: bool) -> pa.RecordBatch:
+    kinds, names = _KINDS, _NAMES_OUT
+    if edges:
+        kinds, names = [*kinds, pa.int32(), pa.int32(), pa.string()], [*names, "part", "edge", "text"]
+    cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+
+def _within(limit: int = 1 << 20):
+    """Compares neighbours of a sorted partition; its first and last row also go out as they are."""
 
     def run(batches):
-        held, size = [], 0
-        for row in rows(batches):
-            held.append((row[0], row[1], row[2], row[3] or ""))
-            size += len(held[-1][3])
-            if size >= limit:
-                yield emit(held)
-                held, size = held[-1:], len(held[-1][3])
+        part, held, size, begun = TaskContext.get().partitionId(), [], 0, False
+        edge = lambda row, which: (row[0], *[None] * 6, part, which, row[1])
+        plain = lambda rows: [(*r, part, 0, None) for r in rows]
+        compared = lambda h: _compared([x[0] for x in h[:-1]], [x[1] for x in h[:-1]], [x[1] for x in h[1:]])
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((i, t))
+                size += len(t)
+                if not begun:
+                    yield _table([edge(held[0], FIRST)], True)
+                    begun = True
+                if size >= limit:
+                    yield _table(plain(compared(held)), True)
+                    held, size = held[-1:], len(t)
         if held:
-            yield emit(held)
+            yield _table([*plain(compared(held)), edge(held[-1], LAST)], True)
 
     return run
 
 
+def _across(batches):
+    for batch in batches:
+        ids, own, following = (c.to_pylist() for c in batch.columns)
+        yield _table(_compared(ids, own, following), False)
+
+
 def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    The next document is the next by (doc_id, text), nulls first, and the first after the last;
-    a single document is next to itself.  Null and empty texts have an empty fingerprint, alike
-    only to an empty one.  Other columns are ignored; an empty table gives an empty result.
+    The next document is the next by doc_id, nulls first (rows of one doc_id by a hash of their
+    text, then the text), and the first after the last; a single document is next to itself.
+    Null and empty texts have an empty fingerprint, alike only to an empty one.  Other columns
+    are ignored; an empty table gives an empty result.
 
-    Rows are dealt to ranges of doc_id; the first row of each range also goes, marked late, to
-    the range before, so that every neighbour is met within one sorted stream.  Only the range
-    bounds and the ranges' first doc_ids come to the driver.
+    Rows are dealt out once, by ranges.  The last row of each range meets the first row of the
+    next one in a second step, of two rows a range.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "fingerprint")
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low = -(1 << 63)
-    t = texts(docs).withColumn("o", F.coalesce("doc_id", F.lit(low)))
-    bounds = sorted({int(x) for x in (t.approxQuantile("o", [k / n for k in range(1, n)], 0.002) if n > 1 else []) or []})
-    bucket = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("o"))) if bounds else F.lit(0)
-    t = t.withColumn("bucket", bucket.cast("int"))
-    first = {r["bucket"]: r["o"] for r in t.groupBy("bucket").agg(F.min("o").alias("o")).collect()}  # a row a range
-    order = sorted(first)
-    before = {b: order[k - 1] for k, b in enumerate(order)}
-    at = F.col("bucket") + 1
-    by_bucket = lambda values: F.element_at(F.array(*(F.lit(values.get(b)).cast("long") for b in range(len(bounds) + 1))), at)
-    late = F.when(F.col("o") == by_bucket(first), by_bucket(before))
-    copies = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("late")), F.when(late.isNotNull(), F.struct(late.cast("int").alias("b"), F.lit(True).alias("late")))))
-    dealt = t.withColumn("c", F.explode(copies)).select(F.col("c.b").alias("bucket"), F.col("c.late").alias("late"), "o", "doc_id", "text")
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "late", "o", F.asc_nulls_first("text"))
-    return dealt.mapInArrow(_work(), _SCHEMA)
+    t = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.col("text")]
+    dealt = t.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    rows = scratch.save(dealt.mapInArrow(_within(), _EDGES), "rows")
+    heads = rows.where(F.col("edge") == FIRST)
+    turn = Window.partitionBy(F.lit(0)).orderBy("part")  # a row a range, without its text
+    whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = heads.select("part", F.coalesce(F.lead("part").over(turn), F.min("part").over(whole)).alias("to"))
+    last = rows.where(F.col("edge") == LAST).select("part", "doc_id", "text").join(following, "part")
+    met = last.join(heads.select(F.col("part").alias("to"), F.col("text").alias("following")), "to").select("doc_id", "text", "following")
+    return rows.where("edge = 0").select(*_NAMES_OUT).union(met.mapInArrow(_across, _SCHEMA))
