@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,19 +20,32 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; only where it names none, one for local use."""
+    """The folder the cluster names for checkpoints.
+
+    Only a session whose executors are threads of the driver, as in tests, gets one of its own
+    where none is named; on a cluster a folder of the driver's machine would be of no use.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[\d*,]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/keyfold-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def stored_bytes(df: DataFrame) -> int | None:
+    """What Spark's statistics say of a table's size: of files, their length; None of a table that they do not know."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
 class Scratch:
     """Intermediate Parquet tables of one run under the shared folder.
 
     A written table cuts the lineage: a lost executor costs no recomputation of what is
-    before it.  Tables go when dropped, or when the driver ends.
+    before it.  Tables that a result still reads cannot be dropped here, as results are lazy;
+    they go when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):

@@ -13,21 +13,29 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._tables import Scratch, texts
+from ._tables import Scratch, stored_bytes, texts
 from ._text import list_array
 from .tokens import encoder, groups
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partitions: int | None = None, stripe_bytes: int = 16 << 20) -> None:
+def _files(docs: DataFrame, file_bytes: int) -> int:
+    """How many files: one for file_bytes of input, but a few for each core as long as they hold 1 MB."""
+    size = stored_bytes(docs)
+    if size is None:
+        return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // file_bytes), min(3 * docs.sparkSession.sparkContext.defaultParallelism, size >> 20))
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partitions: int | None = None, file_bytes: int = 64 << 20, stripe_bytes: int = 16 << 20, stride: int = 10_000) -> None:
     """Writes doc_id, part (rank of the file), at (ids before it in the file), n_tokens, ids.
 
     Null and empty texts are the end id alone; null doc_ids come first, repeated rows follow
-    each other by text.  An empty table gives a folder without rows.
+    each other by a hash of their text, then the text.  An empty table gives a folder without rows.
     """
 
     def run(batches):
@@ -42,23 +50,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partition
                 flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(np.full(len(some), part, np.int32)), pa.array(before), pa.array(n), list_array(flat, n, pa.int32())], names=["doc_id", "part", "at", "n_tokens", "ids"])
 
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    dealt = texts(docs).repartitionByRange(partitions or _files(docs, file_bytes), *order[:2]).sortWithinPartitions(*order)
     out = dealt.mapInArrow(run, SCHEMA).write.mode("overwrite")
     out = out.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
-    out.option("orc.row.index.stride", "10000").option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").option("orc.compression.zstd.level", "1").orc(path)
+    out.option("orc.row.index.stride", str(stride)).option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").option("orc.compression.zstd.level", "1").orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids of files by write()."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    sums = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row a file
-    base, total = [], 0
-    for part in range(max(sums, default=-1) + 1):
-        base.append(total)
-        total += sums.get(part, 0)
-    start = F.element_at(F.array(*(F.lit(x).cast("long") for x in base or [0])), F.col("part") + 1) + F.col("at")
-    return rows.select("doc_id", start.alias("start"), "n_tokens", "ids")
+    ahead = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    # base has a row of 12 bytes a file, and files have file_bytes
+    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:

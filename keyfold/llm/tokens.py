@@ -27,6 +27,7 @@ _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _TAIL = ".,;:!?#$%&*"
 _PROBES = ["a", "The", "house", "Übermäßig", "ñandúÿÀ", "Qzxvkw", "éàç"]
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+_ENTRY = 180  # bytes of a string's and a bytes object's heads and their place in a dict
 _made: dict[str, Encoder] = {}
 
 
@@ -44,16 +45,16 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 class _Pieces(dict):
-    """Ids by piece, found when first asked for; at most about half of `most` pieces are young, as many old ones are kept beside them."""
+    """Ids by piece, found when first asked for; young ones take about half of `most` bytes, as much is kept of old ones."""
 
     def __init__(self, coder: Encoder, lead: str, most: int):
-        self.coder, self.lead, self.most, self.old = coder, lead, most, {}
+        self.coder, self.lead, self.most, self.old, self.held = coder, lead, most, {}, 0
         self.symbol = lead.translate(_BYTES)
 
     def age(self) -> None:
-        """Between texts: when too many are young, they become the old ones; what is met again moves back."""
-        if len(self) > self.most // 2:
-            self.old = dict(self)
+        """Between texts: when the young take too much, they become the old ones; what is met again moves back."""
+        if self.held > self.most // 2:
+            self.old, self.held = dict(self), 0
             self.clear()
 
     def __missing__(self, piece: str) -> bytes:
@@ -61,13 +62,14 @@ class _Pieces(dict):
         if ids is None:
             ids = self.coder.piece(piece, self)
         self[piece] = ids
+        self.held += len(piece) + len(ids) + _ENTRY
         return ids
 
 
 class Encoder:
-    """Ids of whole texts, put together from pieces; about `most` pieces are kept."""
+    """Ids of whole texts, put together from pieces; those kept take about `most` bytes, and a quarter of that for beginnings."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 192 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
