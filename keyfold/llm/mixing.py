@@ -6,8 +6,8 @@ words, in a random direction that leaves every expectation as it was, until one
 at 0 or 1.  Words are thus conserved and one fractional document is left of each leaf group;
 those residuals are combined in a tree of groups, and the last of each source is drawn.
 
-Documents are dealt to leaves by a hash of doc_id and go from large to small, so that what is
-left at the end is small; a hot source is only more leaves.  Draws depend on seed, source and
+Documents are dealt to leaves by hash and go from large to small, so that what is left at the
+end is small; a hot source or doc_id is only more leaves.  Draws depend on seed, source and
 leaf, not on partitions: reruns agree.
 """
 
@@ -121,8 +121,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     whole = F.floor(wanted + 1e-9)
     leaves = F.ceil(F.col("docs") / leaf_rows).cast("long")
     t = per.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), wanted - F.col("whole"))).withColumn("leaves", leaves)
-    rows = sizes.join(t.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    rows = rows.select("rank", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("leaves")).alias("leaf"), F.col("doc_id").alias("row"), "size", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0).alias("p"))
+    # Rows that agree in all that counts are numbered, so that a doc_id of very many rows is dealt to many leaves, in the same way each time.
+    alike = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    rows = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).join(t.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    rows = rows.select("rank", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "copy"), F.col("leaves")).alias("leaf"), F.col("doc_id").alias("row"), "size", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0).alias("p"))
     run, schema = _level(seed, 0)
     leaf = scratch.save(rows.withColumn("bucket", F.col("leaf")).groupBy("rank", "bucket").applyInArrow(run, schema), "leaf")
 
