@@ -11,14 +11,14 @@ from ._tables import documents
 from .near_dedup import near_duplicates
 from .quality_rules import quality
 
-TOKENIZERS = "/opt/tokenizers"
-
 WORD = r"[^\x20\x09-\x0D]+"
 FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
