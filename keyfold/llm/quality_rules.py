@@ -117,7 +117,7 @@ def rules() -> dict[str, tuple[int, Column]]:
         "lines": (BAD, dup > 0.5),
         "monotone": (BAD, (n >= 30) & (distinct < 0.15)),
         "word_length": (BAD, (length < 2) | (length > 15)),
-        "prose": (GOOD, (n >= 20) & (upper <= 0.15) & (symbols <= 0.02) & (distinct >= 0.3)),
+        "prose": (GOOD, (n >= 10) & (upper <= 0.15) & (symbols <= 0.02) & (distinct >= 0.3)),
     }
 
 
@@ -126,12 +126,12 @@ PRIOR = {BAD: (0.3, 0.005), GOOD: (0.4, 0.8)}
 PRIOR_SHARE = 0.9
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, votes: list[int], strength: float = 0.5, turns: int = 300) -> tuple[float, np.ndarray]:
+def fit(patterns: np.ndarray, counts: np.ndarray, votes: list[int], strength: float = 100.0, turns: int = 1000) -> tuple[float, np.ndarray]:
     """EM for (share of good documents, table[rule, class, vote]); class 0 bad, 1 good.
 
     patterns: votes by row and rule; votes: what each rule votes when it does.  The prior counts
-    as strength times the documents, so that the classes keep their meaning while the rates
-    follow the data.
+    as `strength` documents, however many there are: it says which class is which and where to
+    begin, and the rates become the data's.
     """
     k = patterns.shape[1]
     prior = np.zeros((k, 2, 3))
@@ -141,7 +141,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, votes: list[int], strength: fl
     total = counts.sum()
     share, table = PRIOR_SHARE, prior
     hot = np.eye(3)[patterns]
-    weight = np.array([1 - PRIOR_SHARE, PRIOR_SHARE]) * (strength * total + 2)
+    weight = np.array([1 - PRIOR_SHARE, PRIOR_SHARE]) * strength
     with np.errstate(divide="ignore"):
         for _ in range(turns if total else 0):
             log = np.einsum("pkv,kcv->cp", hot, np.log(np.maximum(table, 1e-12))) + np.log([[1 - share], [share]])
@@ -198,11 +198,12 @@ def quality(docs: DataFrame, least_words: int = 10, repeat_percent: int = 20, po
 
 
 def keep_good(docs: DataFrame, least_words: int = 10, repeat_percent: int = 20, posterior: float = 0.5) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns; nothing is shuffled but vote counts."""
+    """The rows of docs that quality() keeps, with all their columns; nothing is shuffled but vote counts.
+
+    Texts are read once: what passes the base rules is written with its votes and read again
+    when the fit to all votes is known.
+    """
     scratch = Scratch(docs.sparkSession, "quality")
-    voted = scratch.save(texts(docs).mapInArrow(_stats, _SCHEMA).select(*_votes()), "votes")
-    p = _fitted(voted)
-    scratch.drop("votes")
 
     def run(batches):
         for batch in batches:
@@ -213,6 +214,7 @@ def keep_good(docs: DataFrame, least_words: int = 10, repeat_percent: int = 20,
                 yield pa.RecordBatch.from_arrays([row, *(pa.array(s[k].astype(np.int64)) for k in STATS)], names=["document", *STATS])
 
     schema = T.StructType([T.StructField("document", docs.schema)] + [T.StructField(k, T.LongType()) for k in STATS])
-    stats = docs.mapInArrow(run, schema)
-    judged = stats.select("document", _base_failed(least_words, repeat_percent).alias("failed"), *_votes())
-    return judged.where(~F.col("failed") & (p >= posterior)).select("document.*")
+    failed = _base_failed(least_words, repeat_percent)
+    judged = docs.mapInArrow(run, schema).select(F.when(~failed, F.col("document")).alias("document"), failed.alias("failed"), *_votes())
+    judged = scratch.save(judged, "judged")
+    return judged.where(~F.col("failed") & (_fitted(judged) >= posterior)).select("document.*")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import inspect
+import itertools
 import math
 import re
 import zlib
@@ -150,6 +151,39 @@ def test_quality(docs, texts):
     assert not any(r.kept and r.base_failed for r in out)
 
 
+def planted_votes(n, share, rates, votes, seed):
+    """Vote patterns of n documents whose rules vote with the rates given on bad and good ones, counted."""
+    g = np.random.default_rng(seed)
+    good = (g.random(n) < share).astype(int)
+    rows = np.stack([np.where(g.random(n) < np.array(r)[good], v, quality_rules.ABSTAIN) for r, v in zip(rates, votes)], axis=1)
+    return good, rows, *np.unique(rows, axis=0, return_counts=True)
+
+
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_planted_accuracies_are_recovered(n):
+    """Far from the prior, and alike at either size."""
+    votes = [quality_rules.BAD] * 3 + [quality_rules.GOOD] * 3
+    rates = [(0.7, 0.05), (0.45, 0.1), (0.6, 0.02), (0.15, 0.6), (0.05, 0.5), (0.3, 0.9)]
+    good, rows, patterns, counts = planted_votes(n, 0.6, rates, votes, 1)
+    share, table = quality_rules.fit(patterns, counts.astype(float), votes)
+    assert abs(share - 0.6) < 0.02
+    assert np.allclose([table[k, :, v] for k, v in enumerate(votes)], rates, atol=0.03)
+
+
+def test_posterior_is_that_of_the_fit(spark, docs):
+    """p_good against Bayes' rule over the votes, document by document."""
+    votes = quality_rules.rules()
+    d = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    stats = quality_rules.texts(d).mapInArrow(quality_rules._stats, quality_rules._SCHEMA)
+    voted = [tuple(r) for r in stats.select("doc_id", *quality_rules._votes()).collect()]
+    patterns, counts = np.unique(np.array([r[1:] for r in voted]), axis=0, return_counts=True)
+    share, table = quality_rules.fit(patterns, counts.astype(float), [v for v, _ in votes.values()])
+    likely = lambda vs, c: math.prod(table[k, c, v] for k, v in enumerate(vs))
+    want = {r[0]: share * likely(r[1:], 1) / (share * likely(r[1:], 1) + (1 - share) * likely(r[1:], 0)) for r in voted}
+    for r in quality_rules.quality(d).collect():
+        assert abs(r.p_good - want[r.doc_id]) < 1e-6 and r.kept == (not r.base_failed and r.p_good >= 0.5)
+
+
 def test_kept_documents_are_the_kept(docs):
     kept = collections.Counter(r.doc_id for r in quality_rules.quality(docs).where("kept").collect())
     rows = quality_rules.keep_good(docs)
@@ -327,7 +361,8 @@ def test_streams_hold_every_token_once():
 
 def test_fingerprints(docs, texts):
     out = fingerprint.fingerprint_edits(docs, buckets=5).collect()
-    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    place = {r.t: r.h for r in docs.selectExpr("coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, place[x[1]], x[1]))
     want = collections.Counter()
     for k, (i, t) in enumerate(order):
         nxt, half = order[(k + 1) % len(order)][1], len(t) // 2
@@ -337,6 +372,46 @@ def test_fingerprints(docs, texts):
     assert np.mean([r.near_edited > r.near_next for r in long]) > 0.95
 
 
+def plain_phrases(raw):
+    """Phrase names of one text, symbol by symbol."""
+    one = lambda x: int(fingerprint.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    x, levels = [int(fingerprint._NAMES[b]) for b in raw], []
+    while True:
+        runs = [[s, len(list(g))] for s, g in itertools.groupby(x)]
+        names = [s if n == 1 else one(s + (n - 1) * 0xD6E8FEB86659FD93) for s, n in runs]
+        label = names
+        for _ in range(3):
+            low = lambda a, b: ((a ^ b) & -(a ^ b)).bit_length() - 1
+            label = [2 * low(s, label[k - 1] if k else s ^ 1) + (s >> low(s, label[k - 1] if k else s ^ 1) & 1) for k, s in enumerate(label)]
+        cut = [0] + [k for k in range(1, len(names) - 1) if label[k] > label[k - 1] and label[k] > label[k + 1]]
+        phrases = [names[a:b] for a, b in zip(cut, [*cut[1:], len(names)])]
+        x = [one(sum(s * pow(fingerprint._BASE, k, 2**64) for k, s in enumerate(p)) + len(p)) for p in phrases]
+        levels.append(x)
+        if len(x) == 1:
+            return set(itertools.chain(*levels[2:])) if len(levels) > 2 else set(levels[-1])
+
+
+def test_phrases_against_a_plain_parser():
+    g = np.random.default_rng(17)
+    raw = [bytes(g.integers(97, 97 + int(g.integers(1, 27)), int(g.integers(1, 200))).astype(np.uint8)) for _ in range(60)] + [b"aaaa", b"ab", b"a", b"abababab" * 9]
+    for r, got in zip(raw, fingerprint.phrase_names(raw)):
+        assert set(got.tolist()) == plain_phrases(r)
+
+
+def test_likeness_of_every_pair(docs, texts):
+    """Fingerprints and likenesses of the query against those of each text alone."""
+    place = {r.t: r.h for r in docs.selectExpr("coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, place[x[1]], x[1]))
+    alone = lambda t: fingerprint.fingerprints([t.encode()])[0]
+    want = collections.Counter()
+    for k, (i, t) in enumerate(order):
+        nxt, half = order[(k + 1) % len(order)][1], len(t) // 2
+        a, e = alone(t), alone(t[: len(t) - half] + nxt[:half])
+        want[(i, fingerprint.text_of(a), fingerprint.text_of(e), fingerprint.likeness(a, e), fingerprint.likeness(a, alone(nxt)))] += 1
+    for n in (1, 7, 300):
+        assert want == collections.Counter((r.doc_id, *tuple(r)[3:]) for r in fingerprint.fingerprint_edits(docs, buckets=n).collect())
+
+
 def test_phrases_are_local():
     g = np.random.default_rng(2)
     core = g.integers(97, 123, 4000).astype(np.uint8).tobytes()
@@ -452,20 +527,48 @@ def test_pieces_give_the_ids_of_whole_texts(name):
     parts = ["a", "B", "The", "don't", "'s", "1", "23", ",", ".", "!?", "#$%", "-", "é", "İ", "ß", "ª", "µ", "\u0301", "界", "🌍", "<|endoftext|>", "<|startoftext|>", "\r\n", *[" "] * 8, *["\n"] * 3, *spaces]
     rng = np.random.default_rng(4)
     texts = [None, "", *(f"x{c} y" for c in spaces), *("".join(rng.choice(parts, rng.integers(40))) for _ in range(5000))]
-    coder = tokens.Encoder(vocabulary(name), most=500)  # so few that pieces are forgotten and met again
+    coder = tokens.Encoder(vocabulary(name), most=100_000)  # so few bytes that pieces are forgotten and met again
     assert coder.lower is not None
     whole = coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     assert coder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in whole]
 
 
-def test_token_file(docs, texts):
+def test_token_file(docs):
+    """Also in more files than one; rows of one doc_id stand by a hash of their text."""
     at, want = 0, collections.Counter()
-    for i, ids in encoded(sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1])), "word_bpe_49k.json"):
+    rows = [((r.doc_id is not None, r.doc_id or 0, r.h, r.text or ""), r.doc_id, r.text or "") for r in docs.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()]
+    for i, ids in encoded([x[1:] for x in sorted(rows)], "word_bpe_49k.json"):
         want[(i, at, len(ids), zlib.crc32(ids.tobytes()))] += 1
         at += len(ids)
     assert want == collections.Counter(tuple(r) for r in token_file.round_trip(docs, vocabulary("word_bpe_49k.json")).collect())
 
 
+def test_token_file_parts_and_types(spark, docs, tmp_path):
+    path = str(tmp_path / "ids")
+    token_file.write(docs, path, vocabulary("word_bpe_49k.json"), partitions=6)
+    out = token_file.read(spark, path).orderBy("start").collect()
+    assert [r.start for r in out] == [sum(r.n_tokens for r in out[:k]) for k in range(len(out))]
+    assert len({r.part for r in spark.read.orc(path).select("part").distinct().collect()}) > 3 and all(r.ids[-1] == 2 and len(r.ids) == r.n_tokens for r in out)
+
+
+def test_look_up_reads_few_rows(spark, tmp_path):
+    """An id's stripes are found by statistics, its row group by the index; one that is not there, by the Bloom filter."""
+    path = str(tmp_path / "ids")
+    d = spark.range(0, 60_000, 2).selectExpr("id as doc_id", "concat('word ', id) as text")
+    token_file.write(d, path, vocabulary("word_bpe_49k.json"), partitions=2, stride=1000)
+
+    def scanned(ids):
+        df = token_file.look_up(spark, path, ids)
+        got = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        return got, plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    got, rows = scanned([31_000])
+    assert [r.doc_id for r in got] == [31_000] and 0 < rows <= 2000
+    got, rows = scanned([31_001])
+    assert got == [] and rows == 0
+
+
 def test_packing(docs, texts):
     out = packing.pack(docs, vocabulary("byte_bpe_50k.json")).collect()
     want = collections.Counter()
@@ -530,6 +633,54 @@ def test_mixing(docs):
     assert collections.Counter((r.doc_id, r.size, r.taken) for r in again) == collections.Counter((r.doc_id, r.size, r.taken) for r in out)
 
 
+def test_one_doc_id_in_very_many_rows(spark):
+    """It is dealt to many leaves, and in the same way each time."""
+    d = spark.createDataFrame([(7, "a b c", "x")] * 3000 + [(8 + i, "d e", "x") for i in range(500)] + [(10**6 + i, "f " * 9, "y") for i in range(900)], "doc_id long, text string, source string")
+    runs = [collections.Counter(map(tuple, mixing.mix(d.repartition(k), leaf_rows=100).collect())) for k in (2, 5)]
+    assert runs[0] == runs[1] and sum(runs[0].values()) == 4400
+    for s, w in (("x", 10_000), ("y", 8100)):
+        rows = [(r, n) for r, n in runs[0].items() if r[2] == w]
+        assert abs(sum(r[4] * n for r, n in rows) - rows[0][0][3]) <= 9, s
+
+
+def test_settling_keeps_words_and_expectations():
+    """Words wanted are words taken but for the residual; each document is taken as often as its probability says."""
+    g = np.random.default_rng(30)
+    size = np.sort(g.integers(1, 60, 40))[::-1].astype(float)
+    p = np.round(g.uniform(0.05, 0.95, 40), 2)
+    total = np.zeros(40)
+    for k in range(4000):
+        q = p.copy()
+        chosen, hold = mixing.settle(q, size, np.random.default_rng(k).random(40))
+        assert set(chosen[~np.isnan(chosen)]) <= {0.0, 1.0} and np.isnan(chosen).sum() == (hold >= 0)
+        taken = np.nansum(chosen * size) + (q[hold] * size[hold] if hold >= 0 else 0)
+        assert abs(taken - (p * size).sum()) < 1e-6
+        total += np.where(np.isnan(chosen), q, chosen)
+    assert np.abs(total / 4000 - p).max() < 0.05
+
+
+def plain_targets(sizes):
+    """Shares by weight, cut at three times a source's size, the excess shared again until none is above."""
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda x: (x is None, x or "")))}
+    fixed: dict = {}
+    while True:
+        level = (sum(sizes.values()) - sum(fixed.values())) / max(1, sum(w for s, w in weight.items() if s not in fixed))
+        above = {s: 3.0 * sizes[s] for s, w in weight.items() if s not in fixed and level * w > 3.0 * sizes[s]}
+        if not above:
+            return {s: fixed.get(s, level * weight[s]) for s in sizes}
+        fixed |= above
+
+
+def test_targets(spark):
+    g = np.random.default_rng(41)
+    for _ in range(4):
+        sizes = {s: int(g.integers(1, 400)) ** 2 for s in ["é", "b", "a", None, "z", "aa", "src10"]}
+        rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+        got = {r.source: r.target for r in mixing.targets(rows).collect()}
+        want = plain_targets(sizes)
+        assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9) for s in want)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as c
 
