@@ -158,7 +158,7 @@ def fit(docs: DataFrame, scratch: Scratch, frequent: int, modelled: int, n_class
     return vocabulary, gru.unpack(mean, p) if mean else p, counts
 
 
-def score(docs: DataFrame, frequent: int = 100_000, modelled: int = 4000, n_classes: int = 60, width: int = 16, hidden: int = 24, first_docs: int = 400, rows: int = 128, rate: float = 6e-3) -> DataFrame:
+def score(docs: DataFrame, frequent: int = 100_000, modelled: int = 3000, n_classes: int = 52, width: int = 16, hidden: int = 24, first_docs: int = 400, rows: int = 256, rate: float = 9e-3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     Counts and gradients cover every training document.  Null and empty texts are one end token.  A null doc_id is not held out;
