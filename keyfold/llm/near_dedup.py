@@ -269,7 +269,7 @@ def _components(member: DataFrame, compare, blocks, links: DataFrame | None, scr
     return connected_components(found.union(more), scratch, f"{name}-all") if not more.isEmpty() else joined
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, block_rows: int = 1000, block_shingles: int = 500_000, batch_rows: int = 256, batch_shingles: int = 100_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, block_rows: int = 256, block_shingles: int = 500_000, batch_rows: int = 256, batch_shingles: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Links pairs with 100 * |intersection| >= percent * |union| of their shingle sets and returns
