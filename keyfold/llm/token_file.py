@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._tables import Scratch, stored_bytes, texts
 from ._text import list_array
-from .tokens import encoder, groups
+from .tokens import encoder, forget, groups
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
@@ -72,6 +72,7 @@ def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 
 
 def _digest(batches):
+    forget()  # the pieces that the worker kept while it wrote
     for batch in batches:
         col = batch.column(3)
         flat, offs = col.values.to_numpy().astype("<u4"), col.offsets.to_numpy()

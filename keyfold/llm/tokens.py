@@ -69,7 +69,7 @@ class _Pieces(dict):
 class Encoder:
     """Ids of whole texts, put together from pieces; those kept take about `most` bytes, and a quarter of that for beginnings."""
 
-    def __init__(self, path: str, most: int = 192 << 20):
+    def __init__(self, path: str, most: int = 128 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -134,6 +134,11 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
+def forget() -> None:
+    """Gives back what this worker keeps of encoders."""
+    _made.clear()
+
+
 def groups(column, limit: int = 1 << 20):
     """(first row, texts) of an Arrow string column, about limit characters at a time."""
     held, size, first = [], 0, 0
