@@ -186,7 +186,7 @@ def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     t = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.col("text")]
     dealt = t.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    rows = scratch.save(dealt.mapInArrow(_within(), _EDGES), "rows")
+    rows = scratch.save(dealt.mapInArrow(_within(), _EDGES), "rows", "zstd")  # hexadecimal digits, half of them redundant
     heads = rows.where(F.col("edge") == FIRST)
     turn = Window.partitionBy(F.lit(0)).orderBy("part")  # a row a range, without its text
     whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
