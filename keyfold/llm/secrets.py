@@ -194,8 +194,21 @@ class Automaton:
                     blue.extend((r, x) for x in sorted(set(self.arcs[r]) - before[r]))
         return self
 
+    def _trim(self) -> None:
+        """Leaves out the states that no arc leads to any more."""
+        order = [0]
+        place = {0: 0}
+        for q in order:
+            for to, _ in self.arcs[q].values():
+                if to not in place:
+                    place[to] = len(order)
+                    order.append(to)
+        self.seen, self.ends = [self.seen[q] for q in order], [self.ends[q] for q in order]
+        self.arcs = [{c: [place[to], n] for c, (to, n) in self.arcs[q].items()} for q in order]
+
     def table(self) -> Automaton:
         """Fills the costs that score() reads: of each arc and of ending, in nats, add-half smoothed."""
+        self._trim()
         alphabet = 5 + sum(not c.isalnum() for c in CHARACTERS)
         rest = [-math.log(0.5 / (n + 0.5 * (alphabet + 1))) for n in self.seen]
         spread = {c: math.log(SPREAD.get(c, 1)) for c in symbols(CHARACTERS)}
