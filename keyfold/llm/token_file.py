@@ -31,9 +31,11 @@ def _files(docs: DataFrame, file_bytes: int) -> int:
     return max(1, -(-size // file_bytes), min(3 * docs.sparkSession.sparkContext.defaultParallelism, size >> 20))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partitions: int | None = None, file_bytes: int = 64 << 20, stripe_bytes: int = 16 << 20, stride: int = 10_000) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partitions: int | None = None, file_bytes: int = 12 << 20, stripe_bytes: int = 16 << 20, stride: int = 10_000) -> None:
     """Writes doc_id, part (rank of the file), at (ids before it in the file), n_tokens, ids.
 
+    A task sorts and writes one file, so file_bytes of input bounds what it holds; a store that
+    wants fewer files takes more of them, and stripes keep reads parallel.
     Null and empty texts are the end id alone; null doc_ids come first, repeated rows follow
     each other by a hash of their text, then the text.  An empty table gives a folder without rows.
     """
