@@ -7,7 +7,7 @@ return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyfold.llm import mixing, near_dedup, packing, quality_rules, secrets
@@ -35,10 +35,20 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or in up to three rows."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").cast("int").alias("mixed_copies")).where("mixed_copies > 0")
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed_id"]))
-    return rows.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*(docs[c] for c in docs.columns))
+    """Each document as often as the mix takes it: not at all, or in up to three rows.
+
+    Rows of one doc_id share what the mix takes of them, those with the smaller texts first.
+    """
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.sum("copies").alias("mixed_total"), F.count("*").alias("mixed_rows")).where("mixed_total > 0")
+    share = lambda which: docs.join(copies.where(which), docs["doc_id"].eqNullSafe(copies["mixed_id"]))
+    out = share("mixed_rows = 1").withColumn("mixed_times", F.col("mixed_total"))
+    if not copies.where("mixed_rows > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("mixed_id").orderBy(docs["text"])) - 1
+        several = share("mixed_rows > 1").withColumn("mixed_place", place)
+        times = F.floor(F.col("mixed_total") / F.col("mixed_rows")) + (F.col("mixed_place") < F.col("mixed_total") % F.col("mixed_rows")).cast("long")
+        out = out.union(several.withColumn("mixed_times", times).drop("mixed_place"))
+    out = out.where("mixed_times > 0").withColumn("mixed_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mixed_times")))
+    return out.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
