@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyfold.llm import bwt, fingerprint, gru, language_model, mixing, near_dedup, packing, quality_rules, secrets, substring_dedup, token_file, tokens, toxicity
 from keyfold.llm._tables import Scratch
@@ -681,17 +682,130 @@ def test_targets(spark):
         assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9) for s in want)
 
 
-def test_pipeline(spark, tmp_path):
+def plain_votes(text):
+    """The quality rules on one text, and whether the base rules reject it."""
+    w = WORD.findall(text)
+    n, lines = len(w), [x for x in text.split("\n") if WORD.search(x)]
+    grams = collections.Counter(tuple(w[k : k + 5]) for k in range(n - 4))
+    cover = {k + j for k in range(n - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(5)}
+    upper, lower = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+    symbols, bangs = len(re.findall(r"[#*$%&|<>]", text)), len(re.findall("[!?]", text))
+    up = upper / (upper + lower) if upper + lower else None
+    dup = (len(lines) - len(set(lines))) / len(lines) if len(lines) >= 4 else None
+    length, distinct = (sum(map(len, w)) / n, len(set(w)) / n) if n else (None, None)
+    votes = [
+        n and symbols / n >= 0.25, up is not None and up >= 0.4, n and bangs / n >= 0.2, dup is not None and dup > 0.5, n >= 30 and distinct < 0.15, n and (length < 2 or length > 15),
+        n >= 10 and up is not None and up <= 0.15 and symbols / n <= 0.02 and distinct >= 0.3,
+    ]
+    bad, off, good = quality_rules.BAD, quality_rules.ABSTAIN, quality_rules.GOOD
+    return tuple((good if k == 6 else bad) if v else off for k, v in enumerate(votes)), n < 10 or 100 * len(cover) > 20 * n
+
+
+def plain_good(rows):
+    voted = [plain_votes(r.text or "") for r in rows]
+    patterns, counts = np.unique(np.array([v for v, _ in voted]), axis=0, return_counts=True)
+    share, table = quality_rules.fit(patterns, counts.astype(float), [quality_rules.BAD] * 6 + [quality_rules.GOOD])
+    odds = lambda v: math.log(share / (1 - share)) + sum(math.log(max(table[k, 1, x], 1e-12) / max(table[k, 0, x], 1e-12)) for k, x in enumerate(v))
+    return [r for r, (v, failed) in zip(rows, voted) if not failed and odds(v) >= 0]
+
+
+def plain_classes(rows, percent):
+    """The smallest doc_id that each is linked with, over any number of links."""
+    sets = collections.defaultdict(list)
+    for r in rows:
+        w = WORD.findall((r.text or "").translate(LOW))
+        sets[r.doc_id].append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    low = {i: i for i in sets}
+    ids = sorted(i for i in sets if i is not None)
+    for a in ids:
+        for b in ids:
+            if a < b and any(x and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = sorted((low[a], low[b]))
+                low = {i: x if r == y else r for i, r in low.items()}
+    return low
+
+
+def plain_redaction(text):
+    spans = sorted([(m.start(), m.end()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 12] + [(m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]{14,}", text)] + [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", text)])
+    merged: list = []
+    for a, b in spans:
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    for a, b in reversed(merged):
+        text = text[:a] + "<SECRET>" + text[b:]
+    return text
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Every stage against a plain version on its own input; then run() against the stages."""
     import corpus_pipeline as c
 
     docs = c.documents(spark, "/root/testdata/sf0.001")
+    base = " ".join(f"w{k}x{k % 7}" for k in range(120))
+    more = [(9001, base), (9002, base + " one"), (9003, base + " one two three four five six seven"), (9004, base + ' token = "0123456789abcdefghij" and 00112233445566778899aabbccddeeff'), (9005, base[:400]), (9005, base[:400]), (9006, None), (9007, ""), (None, "quite " + base)]
+    rows = [(i, t, "en", None if i == 9005 else "src3", len(t or "")) for i, t in more]
+    docs = docs.union(spark.createDataFrame(rows, docs.schema))
+    (tmp_path / "in").mkdir()
+    docs.coalesce(2).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    names = [n for n, _ in c.STAGES]
+    assert names == ["quality rules", "near-duplicates", "secret scans", "mixing", "packing"]
+    out = []
+    now = c.documents(spark, str(tmp_path / "in"))
     for k, (_, stage) in enumerate(c.STAGES):
-        out = stage(spark, docs, "/root/testdata/sf0.001")
-        if k < len(c.STAGES) - 1:
-            assert out.columns == docs.columns
-        out.write.parquet(str(tmp_path / str(k)))
-        docs = spark.read.parquet(str(tmp_path / str(k)))
-    assert docs.count() == c.run(spark, "/root/testdata/sf0.001").count() > 0
+        stage(spark, now, str(tmp_path / "in")).write.parquet(str(tmp_path / str(k)))
+        out.append(now.collect())
+        assert k == 4 or spark.read.parquet(str(tmp_path / str(k))).schema.names == docs.schema.names
+        now = spark.read.parquet(str(tmp_path / str(k)))
+    out.append(now.collect())
+    as_rows = lambda rows: collections.Counter(map(tuple, rows))
+    assert as_rows(out[1]) == as_rows(plain_good(out[0]))
+    low = plain_classes(out[1], 80)
+    assert as_rows(out[2]) == as_rows(r for r in out[1] if r.doc_id is None or low[r.doc_id] == r.doc_id)
+    assert len(out[2]) < len(out[1]) < len(out[0])
+    assert as_rows(out[3]) == as_rows((r.doc_id, None if r.text is None else plain_redaction(r.text), r.lang, r.source, None if r.text is None else len(plain_redaction(r.text))) for r in out[2])
+    assert any("<SECRET>" in r.text for r in out[3])
+    size = lambda rows, s: sum(len(WORD.findall(r.text or "")) for r in rows if r.source == s)
+    want = plain_targets({s: size(out[3], s) for s in {r.source for r in out[3]}})
+    before, after = as_rows(out[3]), as_rows(out[4])
+    assert all(r in before and n <= 3 * before[r] for r, n in after.items())
+    for s, target in want.items():
+        assert abs(size(out[4], s) - target) <= max(len(WORD.findall(r.text or "")) for r in out[3] if r.source == s)
+    pieces = collections.Counter()
+    for i, ids in encoded([(r.doc_id, r.text or "") for r in out[4]], "byte_bpe_50k.json"):
+        for k, (a, n) in enumerate(packing.pieces(len(ids), 1024)):
+            pieces[(i, k, a, n, zlib.crc32(ids[a : a + n].tobytes()))] += 1
+    assert pieces == collections.Counter(tuple(r)[:5] for r in out[5])
+    assert pieces == collections.Counter(tuple(r)[:5] for r in c.run(spark, str(tmp_path / "in")).collect())
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_clashing_columns_and_empty_tables(spark, docs, stage):
+    import corpus_pipeline as c
+
+    name, f = c.STAGES[stage]
+    out = f(spark, docs, "")
+    assert stage == 4 or out.columns == docs.columns
+    assert out.count() > 0 and f(spark, docs.limit(0), "").collect() == []
+
+
+def test_mixing_shares_among_rows_of_one_id(spark):
+    import corpus_pipeline as c
+
+    rows = [(1, f"a b c d {k % 2}", "s", "x") for k in range(50)] + [(2, "e f g", "t", "y")] * 40 + [(100 + k, "h i j k", "u", "z") for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = mixing.mix(d).groupBy("doc_id").agg({"copies": "sum"}).collect()
+    out = collections.Counter(r.doc_id for r in c.mix_sources(spark, d, "").collect())
+    assert out == collections.Counter({r[0]: r[1] for r in taken if r[1]})
+
+
+def test_labels_with_clashing_and_odd_rows(spark, docs, labels):
+    """Labels that repeat, disagree, are null or no labels, with columns of other names."""
+    odd = labels.withColumn("text", F.lit("x")).withColumn("score", F.lit(1.0)).withColumn("quality", F.lit(None).cast("int"))
+    more = spark.createDataFrame([(None, None, 1, "x", 1.0), (1, None, None, "x", 1.0), (2, None, 7, "x", 1.0)], "doc_id long, quality int, toxic int, text string, score double")
+    a = {(r.doc_id, r.score) for r in toxicity.score(docs, labels).collect()}
+    assert a == {(r.doc_id, r.score) for r in toxicity.score(docs, odd.select("doc_id", "quality", "toxic", "text", "score").union(more).union(odd.select("doc_id", "quality", "toxic", "text", "score"))).collect()}
 
 
 def test_near_dedup_sql(spark):
