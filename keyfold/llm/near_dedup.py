@@ -196,8 +196,9 @@ def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
 class _Meetings:
     """What compares the documents of a group: rows (g, rep) in, links (u, v) out, as stars; groups are met by the batch."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, size: int, percent: int, batch_rows: int, batch_shingles: int):
-        self.docs, self.reps, self.k, self.size, self.percent, self.batch_rows, self.batch_shingles = docs, reps, k, size, percent, batch_rows, batch_shingles
+    def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int, size: int, percent: int, batch_rows: int, batch_shingles: int):
+        self.docs, self.reps, self.scratch, self.k, self.size, self.percent, self.batch_rows, self.batch_shingles = docs, reps, scratch, k, size, percent, batch_rows, batch_shingles
+        self.turns = 0
 
     def estimate(self, rows: DataFrame) -> DataFrame:
         """Links that the sketches do not rule out."""
@@ -235,6 +236,9 @@ class _Meetings:
                 yield _star(t.column("rep").to_numpy(), _linked(_lists(t, "members"), percent))
 
         per = rows.groupBy("rep").agg(F.collect_set("g").alias("met")).join(self.reps.select("rep", "h1", "h2"), "rep")
+        # Written, so that Spark knows its size and leaves the texts where they are if it is small.
+        self.turns += 1
+        per = self.scratch.save(per, f"verified{self.turns}")
         sets = texts(self.docs).withColumnRenamed("doc_id", "rep").join(per, "rep").mapInArrow(full, "rep long, met array<long>, n long, members array<long>")
         dealt = sets.select(F.explode("met").alias("g"), "rep", "n", "members").repartition("g").sortWithinPartitions("g", "rep")
         return dealt.mapInArrow(run, "u long, v long")
@@ -269,7 +273,7 @@ def _components(member: DataFrame, compare, blocks, links: DataFrame | None, scr
     return connected_components(found.union(more), scratch, f"{name}-all") if not more.isEmpty() else joined
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, block_rows: int = 256, block_shingles: int = 500_000, batch_rows: int = 256, batch_shingles: int = 100_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, block_rows: int = 1000, block_shingles: int = 500_000, batch_rows: int = 256, batch_shingles: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Links pairs with 100 * |intersection| >= percent * |union| of their shingle sets and returns
@@ -297,7 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
     hubs = scratch.save(lists.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("group")).where("c > 1").select("v", "group"), "hubs")
     member = lists.join(hubs, "v").groupBy("group", "rep").agg(F.max("n").alias("n"))
 
-    meet = _Meetings(docs, reps, k, size, percent, batch_rows, batch_shingles)
+    meet = _Meetings(docs, reps, scratch, k, size, percent, batch_rows, batch_shingles)
     rows = F.ceil(F.count("*") / block_rows)
     clusters = _components(member, meet.estimate, rows, None, scratch, "near", block_rows)
     member = clusters.select(F.col("component").alias("group"), F.col("node").alias("rep")).join(reps.groupBy("rep").agg(F.max("n").alias("n")), "rep")
