@@ -44,8 +44,8 @@ class Scratch:
     """Intermediate Parquet tables of one run under the shared folder.
 
     A written table cuts the lineage: a lost executor costs no recomputation of what is
-    before it.  Tables that a result still reads cannot be dropped here, as results are lazy;
-    they go when the driver ends.
+    before it.  Tables that a lazy result still reads stay until the driver ends; operators drop
+    the others before they return.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -66,3 +66,9 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self._path(self.path(name)), True)
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        for found in self._fs.listStatus(self._path(self.at)):
+            if found.getPath().getName() not in names:
+                self._fs.delete(found.getPath(), True)

@@ -200,6 +200,7 @@ def score(docs: DataFrame, frequent: int = 100_000, modelled: int = 3000, n_clas
                 )
                 row += rows
 
+    scratch.keep("counts")
     scored = scratch.save(t.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, ll double, far array<long>, times array<int>"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("far", "times")).alias("x")).select("row", F.col("x.far").alias("h"), F.col("x.times").alias("times"))
     found = rare.join(counts, "h").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("add"))

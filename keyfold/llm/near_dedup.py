@@ -311,6 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
 
     of = reps.select("h1", "h2", "n", "rep").join(joined.select(F.col("node").alias("rep"), F.col("component").alias("joined")), "rep", "left")
     of = scratch.save(of.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("kn"), F.coalesce("joined", "rep").alias("joined")), "result")
+    scratch.keep("sketches", "result")
     out = sk.join(of, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") == F.col("kn")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("joined", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

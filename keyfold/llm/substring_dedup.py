@@ -220,7 +220,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, bucket_by
     # A set: rows that repeat a document have its spans once.
     gone = every.union(partial).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("x"))
     gone = scratch.save(gone, "gone")
-    scratch.drop("candidates", "kinds")
+    scratch.keep("gone")
     return t, gone
 
 
