@@ -198,9 +198,8 @@ class _Meetings:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int, size: int, percent: int, batch_rows: int, batch_shingles: int):
         self.docs, self.reps, self.scratch, self.k, self.size, self.percent, self.batch_rows, self.batch_shingles = docs, reps, scratch, k, size, percent, batch_rows, batch_shingles
-        self.turns = 0
 
-    def estimate(self, rows: DataFrame) -> DataFrame:
+    def estimate(self, rows: DataFrame, name: str | None = None) -> DataFrame:
         """Links that the sketches do not rule out."""
         k, percent, most = self.k, self.percent, self.batch_rows
 
@@ -215,8 +214,8 @@ class _Meetings:
         met = rows.join(self.reps.select("rep", "n", "sketch"), "rep").select("g", "rep", "n", "sketch")
         return met.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(run, "u long, v long")
 
-    def verify(self, rows: DataFrame) -> DataFrame:
-        """Links by the full sets."""
+    def verify(self, rows: DataFrame, name: str | None = None) -> DataFrame:
+        """Links by the full sets; with a name, of what may be few documents."""
         size, percent, most, heavy = self.size, self.percent, self.batch_rows, self.batch_shingles
 
         def full(batches):
@@ -236,9 +235,8 @@ class _Meetings:
                 yield _star(t.column("rep").to_numpy(), _linked(_lists(t, "members"), percent))
 
         per = rows.groupBy("rep").agg(F.collect_set("g").alias("met")).join(self.reps.select("rep", "h1", "h2"), "rep")
-        # Written, so that Spark knows its size and leaves the texts where they are if it is small.
-        self.turns += 1
-        per = self.scratch.save(per, f"verified{self.turns}")
+        if name:  # written, so that Spark knows its size and leaves the texts where they are if it is small
+            per = self.scratch.save(per, name)
         sets = texts(self.docs).withColumnRenamed("doc_id", "rep").join(per, "rep").mapInArrow(full, "rep long, met array<long>, n long, members array<long>")
         dealt = sets.select(F.explode("met").alias("g"), "rep", "n", "members").repartition("g").sortWithinPartitions("g", "rep")
         return dealt.mapInArrow(run, "u long, v long")
@@ -269,7 +267,7 @@ def _components(member: DataFrame, compare, blocks, links: DataFrame | None, scr
     of = of.join(open_, "group")
     every = of.select("group", "own", numbers("turns").alias("turn"), "rep")
     apart = of.where("c <> largest").withColumn("turn", F.pmod(F.xxhash64(F.lit(name), "rep"), F.col("turns")).cast("int")).select("group", numbers("blocks").alias("own"), "turn", "rep")
-    more = scratch.save(compare(every.union(apart).select(F.xxhash64("group", "own", "turn").alias("g"), "rep")), f"{name}-more")
+    more = scratch.save(compare(every.union(apart).select(F.xxhash64("group", "own", "turn").alias("g"), "rep"), f"{name}-again"), f"{name}-more")
     return connected_components(found.union(more), scratch, f"{name}-all") if not more.isEmpty() else joined
 
 
