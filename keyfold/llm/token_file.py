@@ -49,7 +49,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partition
                 n = np.array([len(x) // 4 for x in raw], np.int64)
                 before = at + np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
                 at += int(n.sum())
-                flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
+                flat = np.frombuffer(b"".join(raw), "<i4")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(np.full(len(some), part, np.int32)), pa.array(before), pa.array(n), list_array(flat, n, pa.int32())], names=["doc_id", "part", "at", "n_tokens", "ids"])
 
     order = ["doc_id", F.xxhash64("text"), "text"]
@@ -76,9 +76,11 @@ def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 def _digest(batches):
     forget()  # the pieces that the worker kept while it wrote
     for batch in batches:
+        if not batch.num_rows:
+            continue
         col = batch.column(3)
-        flat, offs = col.values.to_numpy().astype("<u4"), col.offsets.to_numpy()
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:])]
+        flat, offs = memoryview(col.values.to_numpy().astype("<i4", copy=False)).cast("B"), (4 * col.offsets.to_numpy().astype(np.int64)).tolist()
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip(offs[:-1], offs[1:])]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
