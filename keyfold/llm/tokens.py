@@ -2,7 +2,8 @@
 
 Both supported pre-tokenizers never let a token run across a space that follows a character
 other than white space, nor across a single line end between two such characters, so a text cut
-there gives the same ids piece by piece.  Pieces repeat far more than texts do; ids of pieces
+there gives the same ids piece by piece.  Pieces repeat far more than texts do: Arrow cuts the
+texts, finds the distinct pieces of all of them, and puts the ids together again; ids of pieces
 are kept, as little-endian bytes, and the library is asked only for new ones.  A word of plain
 Latin letters is one pre-token that no normaliser changes but in case, and punctuation after it
 is another, so for these the library's BPE model is asked for the word alone.
@@ -14,6 +15,7 @@ import os
 import re
 import struct
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -45,7 +47,10 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 class _Pieces(dict):
-    """Ids by piece, found when first asked for; young ones take about half of `most` bytes, as much is kept of old ones."""
+    """Ids by piece, found when first asked for; young ones take about half of `most` bytes, as much is kept of old ones.
+
+    Words with punctuation behind them are put together each time and not kept.
+    """
 
     def __init__(self, coder: Encoder, lead: str, most: int):
         self.coder, self.lead, self.most, self.old, self.held = coder, lead, most, {}, 0
@@ -57,14 +62,23 @@ class _Pieces(dict):
             self.old, self.held = dict(self), 0
             self.clear()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
+    def find(self, piece: str) -> bytes:
+        ids = self.get(piece)
         if ids is None:
-            ids = self.coder.piece(piece, self)
-        self[piece] = ids
-        self.held += len(piece) + len(ids) + _ENTRY
+            ids = self.old.get(piece)
+            if ids is None:
+                word = piece.rstrip(_TAIL)
+                if len(word) < len(piece) and self.coder.plain(word):
+                    return self.find(word) + self.coder.tail(piece[len(word) :])
+                ids = self.coder.piece(piece, self)
+            self[piece] = ids
+            self.held += len(piece) + len(ids) + _ENTRY
         return ids
 
+    def find_all(self, pieces: list[str]) -> list[bytes]:
+        get, find = self.get, self.find
+        return [get(p) or find(p) for p in pieces]
+
 
 class Encoder:
     """Ids of whole texts, put together from pieces; those kept take about `most` bytes, and a quarter of that for beginnings."""
@@ -95,7 +109,11 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(_BYTES)
         return _bytes([t.id for t in self.tokenize(word if self.lower else store.symbol + word)])
 
-    def _tail(self, tail: str) -> bytes:
+    def plain(self, word: str) -> bool:
+        """Whether the model may be asked for the word alone."""
+        return self.lower is not None and word.isalpha() and (word.isascii() or _WORD.fullmatch(word) is not None)
+
+    def tail(self, tail: str) -> bytes:
         if tail not in self.tails:
             if len(self.tails) > 10_000:
                 self.tails = {"": b""}
@@ -103,27 +121,38 @@ class Encoder:
         return self.tails[tail]
 
     def piece(self, piece: str, store: _Pieces) -> bytes:
-        """Ids of a piece that store has not; words and lines within it are looked up on their own."""
-        word = piece.rstrip(_TAIL)
-        if self.lower is not None and word.isalpha() and (word.isascii() or _WORD.fullmatch(word)):
-            return self._word(word, store) if len(word) == len(piece) else store[word] + self._tail(piece[len(word) :])
+        """Ids of a piece that store has not; lines within it are looked up on their own."""
+        if self.plain(piece):
+            return self._word(piece, store)
         if "\n" in piece and _LINES.fullmatch(piece):
             head, *lines = piece.split("\n")
-            return self.line_end.join([store[head], *map(self.first.__getitem__, lines)])
+            return self.line_end.join([store.find(head), *map(self.first.find, lines)])
         return self._whole(store.lead + piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null texts have none."""
-        first, led, out = self.first.__getitem__, self.led.__getitem__, []
-        unsafe = pc.match_substring_regex(pa.array(texts, pa.large_string()), _UNSAFE).to_pylist()
-        for t, careful in zip(texts, unsafe):
-            if not t:
-                out.append(b"")
-                continue
-            cut = iter(_CUT.split(t) if careful else t.split(" "))
-            out.append(first(next(cut)) + b"".join(map(led, cut)))
-            self.first.age()
-            self.led.age()
+        if not texts:
+            return []
+        col = pc.fill_null(pa.array(texts, pa.large_string()), "")
+        unsafe = pc.match_substring_regex(col, _UNSAFE)
+        cut = pc.split_pattern(pc.if_else(unsafe, "", col), " ")
+        at, words = cut.offsets.to_numpy(), cut.values
+        pieces = words.dictionary_encode()
+        distinct, starts = pieces.dictionary.to_pylist(), at[:-1]
+        # A text's first piece has no space before it: it takes a place of its own behind the distinct ones.
+        place = pieces.indices.to_numpy().astype(np.int64)
+        place[starts] = len(distinct) + np.arange(len(texts))
+        ids = self.led.find_all(distinct) + self.first.find_all(words.take(pa.array(starts)).to_pylist())
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(place))
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1][at]
+        data = joined.buffers()[2]
+        data = memoryview(data) if data is not None else memoryview(b"")
+        out = [bytes(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for k in np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist():
+            head, *more = _CUT.split(texts[k])
+            out[k] = self.first.find(head) + b"".join(map(self.led.find, more))
+        self.first.age()
+        self.led.age()
         return out
 
 
@@ -139,7 +168,7 @@ def forget() -> None:
     _made.clear()
 
 
-def groups(column, limit: int = 1 << 20):
+def groups(column, limit: int = 8 << 20):
     """(first row, texts) of an Arrow string column, about limit characters at a time."""
     held, size, first = [], 0, 0
     for k, t in enumerate(column.to_pylist()):
