@@ -3,8 +3,8 @@
 Both supported pre-tokenizers never let a token run across a space that follows a character
 other than white space, nor across a single line end between two such characters, so a text cut
 there gives the same ids piece by piece.  Pieces repeat far more than texts do: Arrow cuts the
-texts, finds the distinct pieces of all of them, and puts the ids together again; ids of pieces
-are kept, as little-endian bytes, and the library is asked only for new ones.  A word of plain
+texts, finds each piece among those known, and puts the ids together; known pieces and their
+ids, as little-endian bytes, are Arrow arrays, and the library is asked only for new ones.  A word of plain
 Latin letters is one pre-token that no normaliser changes but in case, and punctuation after it
 is another, so for these the library's BPE model is asked for the word alone.
 """
@@ -29,7 +29,6 @@ _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _TAIL = ".,;:!?#$%&*"
 _PROBES = ["a", "The", "house", "Übermäßig", "ñandúÿÀ", "Qzxvkw", "éàç"]
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
-_ENTRY = 180  # bytes of a string's and a bytes object's heads and their place in a dict
 _made: dict[str, Encoder] = {}
 
 
@@ -40,56 +39,23 @@ def _byte_table() -> dict[int, int]:
 
 
 _BYTES = _byte_table()
+_SPACE = " ".translate(_BYTES)
 
 
 def _bytes(ids: list[int]) -> bytes:
     return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Pieces(dict):
-    """Ids by piece, found when first asked for; young ones take about half of `most` bytes, as much is kept of old ones.
-
-    Words with punctuation behind them are put together each time and not kept.
-    """
-
-    def __init__(self, coder: Encoder, lead: str, most: int):
-        self.coder, self.lead, self.most, self.old, self.held = coder, lead, most, {}, 0
-        self.symbol = lead.translate(_BYTES)
-
-    def age(self) -> None:
-        """Between texts: when the young take too much, they become the old ones; what is met again moves back."""
-        if self.held > self.most // 2:
-            self.old, self.held = dict(self), 0
-            self.clear()
-
-    def find(self, piece: str) -> bytes:
-        ids = self.get(piece)
-        if ids is None:
-            ids = self.old.get(piece)
-            if ids is None:
-                word = piece.rstrip(_TAIL)
-                if len(word) < len(piece) and self.coder.plain(word):
-                    return self.find(word) + self.coder.tail(piece[len(word) :])
-                ids = self.coder.piece(piece, self)
-            self[piece] = ids
-            self.held += len(piece) + len(ids) + _ENTRY
-        return ids
-
-    def find_all(self, pieces: list[str]) -> list[bytes]:
-        get, find = self.get, self.find
-        return [get(p) or find(p) for p in pieces]
-
-
 class Encoder:
-    """Ids of whole texts, put together from pieces; those kept take about `most` bytes, and a quarter of that for beginnings."""
+    """Ids of whole texts, put together from pieces; the known ones take about `most` bytes."""
 
-    def __init__(self, path: str, most: int = 128 << 20):
+    def __init__(self, path: str, most: int = 48 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
-        self.led = _Pieces(self, " ", most)
-        self.first = _Pieces(self, "", most // 4)
+        self.most = most
+        self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())  # pieces behind a space
         self.tails: dict[str, bytes] = {"": b""}
         self.line_end = self._whole("\n")
         #: Whether words go to the model in lower case or behind the symbol of the space before them; none if neither gives the library's ids.
@@ -97,17 +63,17 @@ class Encoder:
 
     def _agrees(self, lower: bool) -> bool:
         self.lower = lower
-        return all(self._word(w, store) == self._whole(store.lead + w) for w in _PROBES for store in (self.led, self.first))
+        return all(self._word(w, lead) == self._whole(lead + w) for w in _PROBES for lead in (" ", ""))
 
     def _whole(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: str, store: _Pieces) -> bytes:
+    def _word(self, word: str, lead: str) -> bytes:
         if self.lower:
             word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_BYTES)
-        return _bytes([t.id for t in self.tokenize(word if self.lower else store.symbol + word)])
+        return _bytes([t.id for t in self.tokenize(word if self.lower or not lead else _SPACE + word)])
 
     def plain(self, word: str) -> bool:
         """Whether the model may be asked for the word alone."""
@@ -120,14 +86,32 @@ class Encoder:
             self.tails[tail] = self._whole(tail)
         return self.tails[tail]
 
-    def piece(self, piece: str, store: _Pieces) -> bytes:
-        """Ids of a piece that store has not; lines within it are looked up on their own."""
-        if self.plain(piece):
-            return self._word(piece, store)
+    def piece(self, piece: str, lead: str) -> bytes:
+        """Ids of one piece behind lead, a space or nothing; words, punctuation after them and lines are asked for on their own."""
+        word = piece.rstrip(_TAIL)
+        if self.plain(word):
+            return self._word(word, lead) + self.tail(piece[len(word) :]) if len(word) < len(piece) else self._word(word, lead)
         if "\n" in piece and _LINES.fullmatch(piece):
             head, *lines = piece.split("\n")
-            return self.line_end.join([store.find(head), *map(self.first.find, lines)])
-        return self._whole(store.lead + piece)
+            return self.line_end.join([self.piece(head, lead), *(self.piece(x, "") for x in lines)])
+        return self._whole(lead + piece)
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """The places of pieces among the known ones; new ones become known."""
+        if self.known.nbytes + self.ids.nbytes > self.most:  # what these texts do not use goes
+            used = pc.drop_null(pc.index_in(words, value_set=self.known).unique())
+            self.known, self.ids = self.known.take(used), self.ids.take(used)
+        at = pc.index_in(words, value_set=self.known)
+        miss = pc.is_null(at)
+        new = words.filter(miss)
+        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        if len(new):
+            coded = new.dictionary_encode()
+            place[miss.to_numpy(zero_copy_only=False)] = len(self.known) + coded.indices.to_numpy()
+            piece = self.piece
+            ids = pa.array([piece(x, " ") for x in coded.dictionary.to_pylist()], pa.large_binary())
+            self.known, self.ids = pa.concat_arrays([self.known, coded.dictionary]), pa.concat_arrays([self.ids, ids])
+        return place
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null texts have none."""
@@ -137,25 +121,29 @@ class Encoder:
         unsafe = pc.match_substring_regex(col, _UNSAFE)
         cut = pc.split_pattern(pc.if_else(unsafe, "", col), " ")
         at, words = cut.offsets.to_numpy(), cut.values
-        pieces = words.dictionary_encode()
-        distinct, starts = pieces.dictionary.to_pylist(), at[:-1]
-        # A text's first piece has no space before it: it takes a place of its own behind the distinct ones.
-        place = pieces.indices.to_numpy().astype(np.int64)
-        place[starts] = len(distinct) + np.arange(len(texts))
-        ids = self.led.find_all(distinct) + self.first.find_all(words.take(pa.array(starts)).to_pylist())
-        joined = pa.array(ids, pa.large_binary()).take(pa.array(place))
-        ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1][at]
-        data = joined.buffers()[2]
-        data = memoryview(data) if data is not None else memoryview(b"")
-        out = [bytes(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        for k in np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist():
-            head, *more = _CUT.split(texts[k])
-            out[k] = self.first.find(head) + b"".join(map(self.led.find, more))
-        self.first.age()
-        self.led.age()
+        careful = {k: _CUT.split(texts[k]) for k in np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist()}
+        more = pa.array([x for parts in careful.values() for x in parts[1:]], pa.large_string())
+        place = self._find(pa.concat_arrays([words, more]))
+        place, rest = place[: len(words)], place[len(words) :]
+        # A text's first piece has no space before it: it takes a place of its own behind the known ones.
+        place[at[:-1]] = len(self.known) + np.arange(len(texts))
+        first = pa.array([self.piece(x, "") if x else b"" for x in words.take(pa.array(at[:-1])).to_pylist()], pa.large_binary())
+        out = _joined(pa.concat_arrays([self.ids, first]), place, at)
+        if careful:
+            ends = np.cumsum([0, *(len(parts) - 1 for parts in careful.values())])
+            for (k, parts), ids in zip(careful.items(), _joined(self.ids, rest, ends)):
+                out[k] = self.piece(parts[0], "") + ids
         return out
 
 
+def _joined(ids: pa.Array, place: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """The bytes at the places given, one behind the other, from each cut to the next."""
+    found = ids.take(pa.array(place))
+    ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1][cuts].tolist()
+    data = memoryview(found.buffers()[2] or b"")
+    return [bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and vocabulary file."""
     if path not in _made:
