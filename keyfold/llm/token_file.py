@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._tables import Scratch, stored_bytes, texts
 from ._text import list_array
-from .tokens import encoder, forget, groups
+from .tokens import encoder, forget, groups, release
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
@@ -51,6 +51,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partition
                 at += int(n.sum())
                 flat = np.frombuffer(b"".join(raw), "<i4")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(np.full(len(some), part, np.int32)), pa.array(before), pa.array(n), list_array(flat, n, pa.int32())], names=["doc_id", "part", "at", "n_tokens", "ids"])
+            release()
 
     order = ["doc_id", F.xxhash64("text"), "text"]
     dealt = texts(docs).repartitionByRange(partitions or _files(docs, file_bytes), *order[:2]).sortWithinPartitions(*order)
@@ -82,6 +83,8 @@ def _digest(batches):
         flat, offs = memoryview(col.values.to_numpy().astype("<i4", copy=False)).cast("B"), (4 * col.offsets.to_numpy().astype(np.int64)).tolist()
         crc = [zlib.crc32(flat[a:b]) for a, b in zip(offs[:-1], offs[1:])]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        del batch, col, flat
+        release()
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -151,9 +151,15 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
+def release() -> None:
+    """Gives unused memory of Arrow back to the system; its pool keeps what it once had."""
+    pa.default_memory_pool().release_unused()
+
+
 def forget() -> None:
     """Gives back what this worker keeps of encoders."""
     _made.clear()
+    release()
 
 
 def groups(column, limit: int = 8 << 20):
