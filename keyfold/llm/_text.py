@@ -7,6 +7,7 @@ points.  Hashes are 64 bits wide and do not depend on batch, slice or partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tidy() -> None:
+    """Gives memory that is not in use back to the system: what Arrow's pool and the C library keep of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """run(batches) of a worker, tidied up after each partition: workers stay for the stages that follow."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def slices(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Whole rows of a string column, about limit bytes at a time, as (first, end, bytes, offsets).
 

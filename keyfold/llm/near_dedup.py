@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import Scratch, texts
-from ._text import list_array, mix, slices, words
+from ._text import lean, list_array, mix, slices, words
 from .components import connected_components
 
 _MULT = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -212,7 +212,7 @@ class _Meetings:
                 yield _star(ids[at], _alike([sketches[i] for i in at], n[at], k, percent))
 
         met = rows.join(self.reps.select("rep", "n", "sketch"), "rep").select("g", "rep", "n", "sketch")
-        return met.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(run, "u long, v long")
+        return met.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(lean(run), "u long, v long")
 
     def verify(self, rows: DataFrame, name: str | None = None) -> DataFrame:
         """Links by the full sets; with a name, of what may be few documents."""
@@ -237,9 +237,9 @@ class _Meetings:
         per = rows.groupBy("rep").agg(F.collect_set("g").alias("met")).join(self.reps.select("rep", "h1", "h2"), "rep")
         if name:  # written, so that Spark knows its size and leaves the texts where they are if it is small
             per = self.scratch.save(per, name)
-        sets = texts(self.docs).withColumnRenamed("doc_id", "rep").join(per, "rep").mapInArrow(full, "rep long, met array<long>, n long, members array<long>")
+        sets = texts(self.docs).withColumnRenamed("doc_id", "rep").join(per, "rep").mapInArrow(lean(full), "rep long, met array<long>, n long, members array<long>")
         dealt = sets.select(F.explode("met").alias("g"), "rep", "n", "members").repartition("g").sortWithinPartitions("g", "rep")
-        return dealt.mapInArrow(run, "u long, v long")
+        return dealt.mapInArrow(lean(run), "u long, v long")
 
 
 def _components(member: DataFrame, compare, blocks, links: DataFrame | None, scratch: Scratch, name: str, block_rows: int) -> DataFrame:
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     run, schema = _sketches(k, size)
-    sk = scratch.save(texts(docs).mapInArrow(run, schema), "sketches")
+    sk = scratch.save(texts(docs).mapInArrow(lean(run), schema), "sketches")
     found = sk.where("n > 0 and doc_id is not null")
     reps = scratch.save(found.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
 

@@ -16,7 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ._tables import texts
-from .tokens import encoder, groups, release
+from ._text import lean
+from .tokens import encoder, groups
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -95,7 +96,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
                         rows.append((ids[first + k], n, a, size, zlib.crc32(raw[4 * a : 4 * (a + size)]), *at))
                     if len(rows) >= batch_rows:
                         yield flush()
-            release()
         yield flush()
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(lean(run), SCHEMA)

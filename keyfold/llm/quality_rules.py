@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._tables import Scratch, texts
-from ._text import CONTINUATION, SPACE, mix, prefix_hash, slices, span_hash, words
+from ._text import CONTINUATION, SPACE, lean, mix, prefix_hash, slices, span_hash, words
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 
@@ -191,7 +191,7 @@ def quality(docs: DataFrame, least_words: int = 10, repeat_percent: int = 20, po
     gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = texts(docs).mapInArrow(_stats, _SCHEMA)
+    stats = texts(docs).mapInArrow(lean(_stats), _SCHEMA)
     voted = scratch.save(stats.select("doc_id", *STATS[:5], _base_failed(least_words, repeat_percent).alias("base_failed"), *_votes()), "votes")
     p = _fitted(voted)
     return voted.select("doc_id", *STATS[:5], "base_failed", p.alias("p_good"), (~F.col("base_failed") & (p >= posterior)).alias("kept"))
@@ -215,6 +215,6 @@ def keep_good(docs: DataFrame, least_words: int = 10, repeat_percent: int = 20,
 
     schema = T.StructType([T.StructField("document", docs.schema)] + [T.StructField(k, T.LongType()) for k in STATS])
     failed = _base_failed(least_words, repeat_percent)
-    judged = docs.mapInArrow(run, schema).select(F.when(~failed, F.col("document")).alias("document"), failed.alias("failed"), *_votes())
+    judged = docs.mapInArrow(lean(run), schema).select(F.when(~failed, F.col("document")).alias("document"), failed.alias("failed"), *_votes())
     judged = scratch.save(judged, "judged")
     return judged.where(~F.col("failed") & (_fitted(judged) >= posterior)).select("document.*")

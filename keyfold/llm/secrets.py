@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import Scratch, texts
+from ._text import lean
 
 # The base patterns and least lengths, the kinds in order.
 KINDS = ("assign", "access", "hex", "format")
@@ -302,7 +303,7 @@ def train(docs: DataFrame, bound: int = 2000, margin: float = 24.0) -> Formats:
     as many, chosen by hash.  Learning, not scoring, reads strings up to 200 characters.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
-    labelled = texts(docs).mapInArrow(_labelled, "kind int, value string").select("kind", F.substring("value", 1, 200).alias("value")).distinct()
+    labelled = texts(docs).mapInArrow(lean(_labelled), "kind int, value string").select("kind", F.substring("value", 1, 200).alias("value")).distinct()
     found = scratch.save(labelled, "labelled")
     place = F.pmod(F.xxhash64("value"), F.lit(1 << 31))
     n = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # four rows
@@ -339,7 +340,7 @@ def scan(docs: DataFrame, bound: int = 2000, margin: float = 24.0) -> DataFrame:
             arrays = [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(c, pa.string()) for c in cols[3:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, bound: int = 2000, margin: float = 24.0, mark: str = "<SECRET>") -> DataFrame:
@@ -367,5 +368,5 @@ def redact(docs: DataFrame, bound: int = 2000, margin: float = 24.0, mark: str =
             new = pa.array([None if t is None else clean(t) for t in batch.column(k).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == k else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._tables import Scratch, stored_bytes, texts
-from ._text import list_array
-from .tokens import encoder, forget, groups, release
+from ._text import lean, list_array
+from .tokens import encoder, forget, groups
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
@@ -51,11 +51,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partition
                 at += int(n.sum())
                 flat = np.frombuffer(b"".join(raw), "<i4")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(np.full(len(some), part, np.int32)), pa.array(before), pa.array(n), list_array(flat, n, pa.int32())], names=["doc_id", "part", "at", "n_tokens", "ids"])
-            release()
 
     order = ["doc_id", F.xxhash64("text"), "text"]
     dealt = texts(docs).repartitionByRange(partitions or _files(docs, file_bytes), *order[:2]).sortWithinPartitions(*order)
-    out = dealt.mapInArrow(run, SCHEMA).write.mode("overwrite")
+    out = dealt.mapInArrow(lean(run), SCHEMA).write.mode("overwrite")
     out = out.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
     out.option("orc.row.index.stride", str(stride)).option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").option("orc.compression.zstd.level", "1").orc(path)
 
@@ -83,12 +82,10 @@ def _digest(batches):
         flat, offs = memoryview(col.values.to_numpy().astype("<i4", copy=False)).cast("B"), (4 * col.offsets.to_numpy().astype(np.int64)).tolist()
         crc = [zlib.crc32(flat[a:b]) for a, b in zip(offs[:-1], offs[1:])]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-        del batch, col, flat
-        release()
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes docs, reads the files back, and returns doc_id, start, n_tokens, ids_crc32 from them."""
     scratch = Scratch(docs.sparkSession, "token-file")
     write(docs, scratch.path("ids"), tokenizer)
-    return read(docs.sparkSession, scratch.path("ids")).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(docs.sparkSession, scratch.path("ids")).mapInArrow(lean(_digest), "doc_id long, start long, n_tokens long, ids_crc32 long")

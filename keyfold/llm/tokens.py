@@ -49,7 +49,7 @@ def _bytes(ids: list[int]) -> bytes:
 class Encoder:
     """Ids of whole texts, put together from pieces; the known ones take about `most` bytes."""
 
-    def __init__(self, path: str, most: int = 48 << 20):
+    def __init__(self, path: str, most: int = 32 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -113,20 +113,21 @@ class Encoder:
             self.known, self.ids = pa.concat_arrays([self.known, coded.dictionary]), pa.concat_arrays([self.ids, ids])
         return place
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null texts have none."""
-        if not texts:
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(col):
             return []
-        col = pc.fill_null(pa.array(texts, pa.large_string()), "")
+        col = pc.fill_null(col, "")
         unsafe = pc.match_substring_regex(col, _UNSAFE)
         cut = pc.split_pattern(pc.if_else(unsafe, "", col), " ")
         at, words = cut.offsets.to_numpy(), cut.values
-        careful = {k: _CUT.split(texts[k]) for k in np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist()}
+        careful = {k: _CUT.split(col[k].as_py()) for k in np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist()}
         more = pa.array([x for parts in careful.values() for x in parts[1:]], pa.large_string())
         place = self._find(pa.concat_arrays([words, more]))
         place, rest = place[: len(words)], place[len(words) :]
         # A text's first piece has no space before it: it takes a place of its own behind the known ones.
-        place[at[:-1]] = len(self.known) + np.arange(len(texts))
+        place[at[:-1]] = len(self.known) + np.arange(len(col))
         first = pa.array([self.piece(x, "") if x else b"" for x in words.take(pa.array(at[:-1])).to_pylist()], pa.large_binary())
         out = _joined(pa.concat_arrays([self.ids, first]), place, at)
         if careful:
@@ -151,25 +152,17 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
-def release() -> None:
-    """Gives unused memory of Arrow back to the system; its pool keeps what it once had."""
-    pa.default_memory_pool().release_unused()
-
-
 def forget() -> None:
     """Gives back what this worker keeps of encoders."""
     _made.clear()
-    release()
-
-
-def groups(column, limit: int = 8 << 20):
-    """(first row, texts) of an Arrow string column, about limit characters at a time."""
-    held, size, first = [], 0, 0
-    for k, t in enumerate(column.to_pylist()):
-        held.append(t)
-        size += len(t or "")
-        if size >= limit:
-            yield first, held
-            held, size, first = [], 0, k + 1
-    if held:
-        yield first, held
+
+
+def groups(column: pa.Array, limit: int = 4 << 20):
+    """(first row, rows) of an Arrow string column, about limit bytes at a time."""
+    col = pc.fill_null(column, "").cast(pa.large_string())
+    ends = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(col):
+        to = min(len(col), max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1))
+        yield at, col.slice(at, to - at)
+        at = to
