@@ -7,6 +7,8 @@ and carries the state on; scoring carries the state through the whole document.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 Params = dict[str, np.ndarray]
@@ -33,169 +35,217 @@ def start(counts: np.ndarray, bounds: np.ndarray, width: int, hidden: int, seed:
     }
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+class Room(dict):
+    """Arrays by name that one window after another writes over, so that their memory is asked for once."""
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        n = int(np.prod(shape))
+        if name not in self or self[name].size < n:
+            self[name] = np.empty(n, np.float32)
+        return self[name][:n].reshape(shape)
+
+
+def _below(a: np.ndarray, row) -> np.ndarray:
+    """a with a last row, such as the biases below the weights."""
+    return np.concatenate([a, np.broadcast_to(row, (1, a.shape[1]))])
+
+
+def _inputs(p: Params, table: np.ndarray, x: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the words with a 1 for the biases, steps x rows x ...; the input part of the gates, steps x 3 hidden x rows."""
+    xe = table[x.ravel()].reshape(*x.shape, -1)
+    gx = room("input", x.shape[0], len(p["b"]), x.shape[1])
+    return xe, np.matmul(_below(p["Wx"], p["b"]).T, xe.transpose(0, 2, 1), out=gx)
+
+
+def _with_ones(a: np.ndarray) -> np.ndarray:
+    return np.concatenate([a, np.ones((len(a), 1), a.dtype)], axis=1)
 
 
 def _states(p: Params, gx: np.ndarray, h: np.ndarray) -> np.ndarray:
     """States after each step of a window; gx: input part of the gates, steps x rows x 3 hidden."""
-    n = h.shape[1]
-    out = np.empty((gx.shape[0], *h.shape), np.float32)
-    for t in range(gx.shape[0]):
-        gh = h @ p["Wh"]
-        zr = _sigmoid(gx[t, :, : 2 * n] + gh[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        u = np.tanh(gx[t, :, 2 * n :] + r * gh[:, 2 * n :])
-        h = u + z * (h - u)
-        out[t] = h
-    return out
+    return _Tape(p, gx.transpose(0, 2, 1), h, np.zeros(gx.shape[:2], bool), Room()).after.transpose(0, 2, 1)
 
 
 class _Tape:
-    """A window's forward pass with what its backward pass needs, in arrays of steps x rows x ..."""
+    """A window's forward pass with what its backward pass needs, in arrays of steps x ... x rows: what a step works on lies together."""
 
-    def __init__(self, p: Params, gx: np.ndarray, h: np.ndarray, fresh: np.ndarray):
+    def __init__(self, p: Params, gx: np.ndarray, h: np.ndarray, fresh: np.ndarray, room: Room):
         """fresh: where a document begins, steps x rows; its state before that is 0."""
-        steps, rows, n = gx.shape[0], *h.shape
-        self.p, self.fresh = p, fresh
-        self.before, self.after = np.empty((steps, rows, n), np.float32), np.empty((steps, rows, n), np.float32)
-        self.gate, self.u, self.part = np.empty((steps, rows, 2 * n), np.float32), np.empty((steps, rows, n), np.float32), np.empty((steps, rows, n), np.float32)
-        gh, spare = np.empty((rows, 3 * n), np.float32), np.empty((rows, n), np.float32)
+        (steps, _, rows), n = gx.shape, h.shape[1]
+        self.p, self.room, self.keep = p, room, (~fresh).astype(np.float32)
+        self.before, self.u, self.after = (room(k, steps, n, rows) for k in ("before", "u", "after"))
+        self.gate = room("gate", steps, 3 * n, rows)  # update, reset, state's part of the new state
+        weights, spare = p["Wh"].T.copy(), np.empty((n, rows), np.float32)
+        weights[: 2 * n] *= -1
+        h = h.T
         for t in range(steps):
-            zr, u, before = self.gate[t], self.u[t], self.before[t]
-            before[:] = h
-            before[fresh[t]] = 0
-            np.matmul(before, p["Wh"], out=gh)
-            np.add(gx[t, :, : 2 * n], gh[:, : 2 * n], out=zr)
-            np.negative(zr, out=zr)
+            g, u, before = self.gate[t], self.u[t], self.before[t]
+            np.multiply(h, self.keep[t], out=before)
+            np.matmul(weights, before, out=g)
+            zr = g[: 2 * n]
+            zr -= gx[t, : 2 * n]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            self.part[t] = gh[:, 2 * n :]
-            np.multiply(zr[:, n:], self.part[t], out=u)
-            u += gx[t, :, 2 * n :]
+            np.multiply(g[n : 2 * n], g[2 * n :], out=u)
+            u += gx[t, 2 * n :]
             np.tanh(u, out=u)
             np.subtract(before, u, out=spare)
-            spare *= zr[:, :n]
+            spare *= g[:n]
             h = np.add(u, spare, out=self.after[t])
 
-    def back(self, ds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients by the gates' sums, given those by the states from the output: of update, reset and (times reset) new state; of the new state."""
-        steps, rows, n = ds.shape
-        z, r = self.gate[:, :, :n], self.gate[:, :, n:]
-        to = np.empty((steps, rows, 3, n), np.float32)
-        fu = (1 - z) * (1 - self.u * self.u)
-        np.multiply(fu, r, out=to[:, :, 2])
-        np.multiply(to[:, :, 2], self.part, out=to[:, :, 1])
-        to[:, :, 1] *= 1 - r
-        np.subtract(self.before, self.u, out=to[:, :, 0])
-        to[:, :, 0] *= z
-        to[:, :, 0] *= 1 - z
-        back, dh, spare = self.p["Wh"].T.copy(), np.zeros((rows, n), np.float32), np.empty((rows, n), np.float32)
+    def back(self, ds: np.ndarray) -> np.ndarray:
+        """Gradients by the gates' sums, given those by the states from the output: of (times reset) new state, update, reset, new state."""
+        steps, n, rows = ds.shape
+        z, r, part = (self.gate[:, k * n : k * n + n] for k in range(3))
+        to = self.room("to", steps, 4 * n, rows)
+        times_r, of_z, of_r, of_u = (to[:, k * n : k * n + n] for k in range(4))
+        spare = np.subtract(1, z, out=self.room("spare", steps, n, rows))
+        np.multiply(self.u, self.u, out=of_u)
+        np.subtract(1, of_u, out=of_u)
+        of_u *= spare
+        spare *= z
+        np.subtract(self.before, self.u, out=of_z)
+        of_z *= spare
+        np.multiply(of_u, r, out=times_r)
+        np.subtract(1, r, out=spare)
+        spare *= part
+        np.multiply(times_r, spare, out=of_r)
+        weights = np.concatenate([self.p["Wh"][:, 2 * n :], self.p["Wh"][:, : 2 * n]], axis=1)
+        dh, spare = np.zeros((n, rows), np.float32), np.empty((n, rows), np.float32)
         for t in range(steps - 1, -1, -1):
             dh += ds[t]
-            fu[t] *= dh
-            to[t] *= dh[:, None]
-            np.matmul(to[t].reshape(rows, 3 * n), back, out=spare)
+            four = to[t].reshape(4, n, rows)
+            four *= dh
+            np.matmul(weights, to[t, : 3 * n], out=spare)
             dh *= z[t]
             dh += spare
-            dh[self.fresh[t]] = 0
-        return to.reshape(-1, 3 * n), fu.reshape(-1, n)
+            dh *= self.keep[t]
+        return to
 
 
-def _softmax(x: np.ndarray, y: np.ndarray, grads: bool, safe: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probability of y in each row of logits; with grads, the loss's gradient by the logits.  Writes over x."""
+def _classes(p: Params, one: np.ndarray, c: np.ndarray, safe: bool, room: Room, grads: Params | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of each class after its state (one: the states and a 1); with grads, the loss's gradient by state too."""
+    weights = _below(p["Wc"], p["bc"])
+    x = np.matmul(weights.T, one.T, out=room("classes", weights.shape[1], len(one)))
     if not safe:
-        np.minimum(x, 80, out=x)  # far beyond any trained logit; keeps exp() finite without a row maximum
-    at = np.arange(len(y)), y
-    out = x[at]
+        np.minimum(x, 80, out=x)  # far beyond any trained logit; keeps exp() finite without a maximum
+    at = c, np.arange(len(c))
+    lp = x[at]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    out -= np.log(total)
-    if not grads:
-        return out, None
-    x *= (1 / total)[:, None]
+    total = x.sum(axis=0)
+    lp -= np.log(total)
+    if grads is None:
+        return lp, None
+    x *= 1 / total
     x[at] -= 1
-    return out, x
+    both = one.T @ x.T
+    grads["Wc"] += both[:-1]
+    grads["bc"] += both[-1]
+    return lp, np.matmul(x.T, weights[:-1].T, out=room("by class", len(one), len(weights) - 1))
 
 
-def _output(p: Params, bounds: np.ndarray, s: np.ndarray, y: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probability of each target id after each state; with grads, the loss's gradient by state too."""
+def _words(p: Params, bounds: np.ndarray, one: np.ndarray, c: np.ndarray, y: np.ndarray, safe: bool, room: Room, grads: Params | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """As _classes, for each word within its class; c rises.  All classes' logits stand in one array, so that only products go class by class."""
+    weights, size = _below(p["Wo"], p["bo"]), np.diff(bounds)[c]
+    first = np.cumsum(size) - size
+    x = room("words", int(size.sum()))
+    cuts = np.searchsorted(c, np.arange(len(bounds)))
+    parts = [(slice(i, j), slice(a, b), x[first[i] : first[i] + (j - i) * (b - a)].reshape(j - i, b - a)) for i, j, a, b in zip(cuts[:-1], cuts[1:], bounds[:-1], bounds[1:]) if i < j]
+    for rows, ids, logits in parts:
+        np.matmul(one[rows], weights[:, ids], out=logits)
+    if not safe:
+        np.minimum(x, 80, out=x)
+    at = first + y - bounds[c]
+    lp = x[at]
+    np.exp(x, out=x)
+    total = np.add.reduceat(x, first)
+    lp -= np.log(total)
+    if grads is None:
+        return lp, None
+    x *= np.repeat(1 / total, size)
+    x[at] -= 1
+    both, ds = np.zeros(weights.shape, np.float32), room("by word", len(one), len(weights) - 1)
+    for rows, ids, d in parts:
+        np.matmul(one[rows].T, d, out=both[:, ids])
+        np.matmul(d, weights[:-1, ids].T, out=ds[rows])
+    grads["Wo"] += both[:-1]
+    grads["bo"] += both[-1]
+    return lp, ds
+
+
+def _output(p: Params, bounds: np.ndarray, s: np.ndarray, y: np.ndarray, grads: Params | None = None, room: Room | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural log-probability of each target id after each state, ... x hidden; with grads, the loss's gradient by state too."""
+    room = Room() if room is None else room
     # states are within -1..1, which bounds the logits
     safe_c, safe_o = (float((np.abs(p[w]).sum(axis=0) + p[b]).max()) < 80 for w, b in (("Wc", "bc"), ("Wo", "bo")))
-    c = (np.searchsorted(bounds, np.arange(bounds[-1]), "right") - 1).astype(np.int16)[y]
+    c = np.repeat(np.arange(len(bounds) - 1, dtype=np.int16), np.diff(bounds))[y]
+    n = s.shape[-1]
+    one = room("states", *s.shape[:-1], n + 1)
+    one[..., :n] = s
+    one[..., n] = 1
     order = np.argsort(c, kind="stable")
-    c, s, y = c[order], s[order], y[order]
-    x = s @ p["Wc"]
-    x += p["bc"]
-    lp, d = _softmax(x, c, grads is not None, safe_c)
-    ds = None
-    if grads is not None:
-        grads["Wc"] += s.T @ d
-        grads["bc"] += d.sum(axis=0)
-        ds = d @ p["Wc"].T
-    cuts = np.searchsorted(c, np.arange(len(bounds)))
-    for k in range(len(bounds) - 1):
-        i, j, a, b = cuts[k], cuts[k + 1], bounds[k], bounds[k + 1]
-        if i == j or b - a == 1:  # a class of one word is certain of it
-            continue
-        x = s[i:j] @ p["Wo"][:, a:b]
-        x += p["bo"][a:b]
-        lo, d = _softmax(x, y[i:j] - a, grads is not None, safe_o)
-        lp[i:j] += lo
-        if grads is not None:
-            grads["Wo"][:, a:b] += s[i:j].T @ d
-            grads["bo"][a:b] += d.sum(axis=0)
-            ds[i:j] += d @ p["Wo"][:, a:b].T
+    one, c, y = one.reshape(-1, n + 1)[order], c[order], y[order]
+    lp, ds = _classes(p, one, c, safe_c, room, grads)
+    more, by_word = _words(p, bounds, one, c, y, safe_o, room, grads)
     out = np.empty_like(lp)
-    out[order] = lp
+    out[order] = lp + more
     if grads is None:
         return out, None
-    back = np.empty_like(ds)
-    back[order] = ds
-    return out, back
+    ds += by_word
+    by_word[order] = ds
+    return out, by_word
 
 
-def _batches(docs: list[np.ndarray], rows: int):
-    """Documents of like length together, longest first within each batch."""
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    for a in range(0, len(order), rows):
-        yield order[a : a + rows]
+def _lanes(lengths: list[int], rows: int) -> list[list[int]]:
+    """Documents dealt to at most so many lanes of like length, the longest lane first."""
+    lanes = [(0, k, []) for k in range(min(rows, len(lengths)))]
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        n, k, lane = lanes[0]
+        lane.append(i)
+        heapq.heapreplace(lanes, (n + lengths[i], k, lane))
+    return [lane for _, _, lane in sorted(lanes, key=lambda x: (-x[0], x[1]))]
 
 
-def _windows(docs: list[np.ndarray], who: list[int], size: int, end: int):
-    """(inputs, targets, valid) of a batch, steps x active rows; the number active only falls."""
-    lengths = np.array([len(docs[i]) for i in who])
-    for t in range(0, int(lengths.max(initial=0)), size):
+def _ahead(docs: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, fresh) of documents one behind the other; fresh: where one begins."""
+    y = np.concatenate(docs)
+    each = np.array([len(d) for d in docs])
+    fresh = np.zeros(len(y), bool)
+    fresh[(np.cumsum(each) - each)[each > 0]] = True
+    return np.where(fresh, end, np.append(end, y[:-1])), y, fresh
+
+
+def _windows(docs: list[np.ndarray], rows: int, size: int, end: int):
+    """(inputs, targets, fresh, document, valid), steps x active lanes, over whole documents one behind the other; the number active only falls."""
+    longest, total = max(map(len, docs)), sum(map(len, docs))
+    if not total:
+        return
+    lanes = _lanes([len(d) for d in docs], max(1, min(rows, total // longest)))
+    size = max(size, size * rows // len(lanes))  # few lanes go further at a time
+    who = [i for lane in lanes for i in lane]
+    x, y, fresh = _ahead([docs[i] for i in who], end)
+    of = np.repeat(who, [len(docs[i]) for i in who])
+    lengths = np.array([sum(len(docs[i]) for i in lane) for lane in lanes])
+    first = np.cumsum(lengths) - lengths
+    for t in range(0, int(lengths[0]), size):
         active = int((lengths > t).sum())
-        steps = min(size, int(lengths[0]) - t)
-        y = np.full((steps, active), end, np.int64)
-        x = np.full((steps, active), end, np.int64)
-        ok = np.zeros((steps, active), bool)
-        for k, i in enumerate(who[:active]):
-            part = docs[i][t : t + steps]
-            y[: len(part), k] = part
-            ok[: len(part), k] = True
-            prev = docs[i][max(0, t - 1) : t + steps - 1]
-            x[t == 0 : (t == 0) + len(prev), k] = prev
-        yield t, x, y, ok
+        step = np.arange(t, min(t + size, int(lengths[0])))[:, None]
+        ok = step < lengths[:active]
+        at = np.where(ok, first[:active] + step, first[:active])
+        yield x[at], y[at], fresh[at], of[at], ok
 
 
 def log_likelihoods(p: Params, bounds: np.ndarray, docs: list[np.ndarray], end: int, rows: int = 512, size: int = 32) -> np.ndarray:
     """Natural log-likelihood of each document of ids, its end included."""
     out = np.zeros(len(docs))
-    table = p["E"] @ p["Wx"] + p["b"]
-    hidden = p["Wh"].shape[0]
-    for who in _batches(docs, rows):
-        h = np.zeros((len(who), hidden), np.float32)
-        for _, x, y, ok in _windows(docs, who, size, end):
-            h = h[: x.shape[1]]
-            s = _states(p, table[x], h)
-            h = s[-1]
-            at = ok.ravel()
-            ll = np.zeros(ok.size)
-            ll[at] = _output(p, bounds, s.reshape(-1, hidden)[at], y.ravel()[at])[0]
-            out[who[: x.shape[1]]] += ll.reshape(ok.shape).sum(axis=0)
+    room, table = Room(), _with_ones(p["E"])
+    h = np.zeros((rows, p["Wh"].shape[0]), np.float32)
+    for x, y, fresh, of, ok in _windows(docs, rows, size, end) if docs else ():
+        tape = _Tape(p, _inputs(p, table, x, room)[1], h[: x.shape[1]], fresh, room)
+        h = tape.after[-1].T.copy()
+        ll = _output(p, bounds, tape.after.transpose(0, 2, 1), y.ravel(), room=room)[0]
+        out += np.bincount(of[ok], ll[ok.ravel()], len(docs))
     return out
 
 
@@ -207,25 +257,29 @@ def _views(flat: np.ndarray, like: Params) -> Params:
     return out
 
 
-def gradients(p: Params, bounds: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, g: Params) -> np.ndarray:
+def gradients(p: Params, bounds: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, g: Params, room: Room | None = None) -> np.ndarray:
     """Adds to g the gradient of a window's summed loss by each parameter; returns the states after it."""
-    hidden = h.shape[1]
-    xe = p["E"][x.ravel()]
-    tape = _Tape(p, (xe @ p["Wx"] + p["b"]).reshape(*x.shape, -1), h, fresh)
-    ds = _output(p, bounds, tape.after.reshape(-1, hidden), y.ravel(), g)[1]
-    d, du = tape.back(ds.reshape(*x.shape, hidden))
-    g["Wh"] += tape.before.reshape(-1, hidden).T @ d
-    n = 2 * hidden
-    g["b"][:n] += d[:, :n].sum(axis=0)
-    g["b"][n:] += du.sum(axis=0)
-    g["Wx"][:, :n] += xe.T @ d[:, :n]
-    g["Wx"][:, n:] += xe.T @ du
-    dx = d[:, :n] @ p["Wx"][:, :n].T
-    dx += du @ p["Wx"][:, n:].T
-    order = np.argsort(x, axis=None, kind="stable")
-    used, begin = np.unique(x.ravel()[order], return_index=True)
+    room = Room() if room is None else room
+    n, width = h.shape[1], p["E"].shape[1]
+    xe, gx = _inputs(p, _with_ones(p["E"]), x, room)
+    tape = _Tape(p, gx, h, fresh, room)
+    ds = _output(p, bounds, tape.after.transpose(0, 2, 1), y.ravel(), g, room)[1]
+    by_step = room("by step", x.shape[0], n, x.shape[1])
+    by_step[...] = ds.reshape(*x.shape, n).transpose(0, 2, 1)
+    to = tape.back(by_step)
+    by_state = np.matmul(to[:, : 3 * n], tape.before.transpose(0, 2, 1)).sum(axis=0).T
+    g["Wh"][:, 2 * n :] += by_state[:, :n]
+    g["Wh"][:, : 2 * n] += by_state[:, n:]
+    d = to[:, n:]
+    by_input = np.matmul(d, xe).sum(axis=0).T
+    g["Wx"] += by_input[:width]
+    g["b"] += by_input[width]
+    dx = np.matmul(d.transpose(0, 2, 1), p["Wx"].T).reshape(-1, width)
+    x = x.ravel().astype(np.uint16) if len(p["E"]) <= 1 << 16 else x.ravel()  # short numbers are sorted by digits
+    order = np.argsort(x, kind="stable")
+    used, begin = np.unique(x[order], return_index=True)
     g["E"][used] += np.add.reduceat(dx[order], begin, axis=0)
-    return tape.after[-1]
+    return tape.after[-1].T.copy()
 
 
 def _streams(docs: list[np.ndarray], rows: int, size: int, end: int):
@@ -234,10 +288,7 @@ def _streams(docs: list[np.ndarray], rows: int, size: int, end: int):
     The documents stand one behind the other and are cut into streams of one length, so every
     window is full; the last one of all may be narrower and shorter.
     """
-    y = np.concatenate(docs)
-    fresh = np.zeros(len(y), bool)
-    fresh[np.cumsum([0, *map(len, docs[:-1])])] = True
-    x = np.where(fresh, end, np.append(end, y[:-1]))
+    x, y, fresh = _ahead(docs, end)
     rows = max(1, min(rows, len(y) // size))
     steps = len(y) // rows
     whole = [np.ascontiguousarray(a[: rows * steps].reshape(rows, steps).T) for a in (x, y, fresh)]
@@ -255,12 +306,13 @@ def train(p: Params, bounds: np.ndarray, docs: list[np.ndarray], end: int, rows:
     g, spare = _views(grad, p), np.empty_like(flat)
     moments = moments or [np.zeros_like(flat), np.zeros_like(flat), 0]
     mean, square = moments[:2]
+    room = Room()
     docs = [docs[i] for i in np.random.default_rng(len(docs)).permutation(len(docs)) if len(docs[i])]
     h = np.zeros((0, hidden), np.float32)
     for t, x, y, fresh in _streams(docs, rows, size, end) if docs else ():
         h = np.zeros((x.shape[1], hidden), np.float32) if t == 0 else h
         grad[:] = 0
-        h = gradients(now, bounds, x, y, fresh, h, g)
+        h = gradients(now, bounds, x, y, fresh, h, g, room)
         grad *= 1 / y.size
         np.clip(grad, -1, 1, out=grad)
         moments[2] += 1

@@ -33,16 +33,21 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def _tokens(buf, offsets) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all rows' words and ends, first): row r has first[r]:first[r + 1]."""
-    w = words(buf, offsets, folded=True)
-    rows = len(offsets) - 1
-    first = w.first + np.arange(rows + 1)
-    out = np.empty(int(first[-1]), np.int64)
-    end = np.zeros(len(out), bool)
-    end[first[1:] - 1] = True
-    out[end] = END
-    out[~end] = w.hashes.view(np.int64)
-    return out, first
+    """(hashes of all rows' words and ends, first): row r has first[r]:first[r + 1].  Some rows at a time, so that the arrays stay small."""
+    parts, sizes, i, rows = [], [np.zeros(1, np.int64)], 0, len(offsets) - 1
+    while i < rows:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 19), "right")) - 1)
+        w = words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], folded=True)
+        first = w.first + np.arange(j - i + 1)
+        out = np.empty(int(first[-1]), np.int64)
+        end = np.zeros(len(out), bool)
+        end[first[1:] - 1] = True
+        out[end] = END
+        out[~end] = w.hashes.view(np.int64)
+        parts.append(out)
+        sizes.append(np.diff(first))
+        i = j
+    return np.concatenate(parts) if parts else np.empty(0, np.int64), np.cumsum(np.concatenate(sizes))
 
 
 def _count(batches):
@@ -59,9 +64,13 @@ class Vocabulary:
     """Frequent words: ids by hash, their counts; the totals of the corpus."""
 
     def __init__(self, h: np.ndarray, c: np.ndarray, modelled: int, n: int, v: int, n_classes: int):
-        order = np.argsort(h)
+        order = np.argsort(h.view(np.uint64))
         self.h, self.c, self.n, self.v = h[order], c[order], n, v
-        top = np.sort(np.lexsort((self.h, -self.c))[:modelled])
+        # hashes by their first bits: bucket b is bucket[b]:bucket[b + 1], few have more than one
+        self.shift = np.uint64(64 - max(1, (8 * len(h)).bit_length()))
+        self.bucket = np.searchsorted(self.h.view(np.uint64) >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
+        top = np.lexsort((self.h, -self.c))[:modelled]
+        top = top[np.argsort(self.h[top])]
         counts = np.append(self.c[top], max(0, n - int(self.c[top].sum()))).astype(float)
         by, self.bounds = gru.classes(counts, n_classes)
         rank = np.empty(len(by), np.int64)
@@ -70,18 +79,28 @@ class Vocabulary:
         self.ids = np.full(len(self.h), self.unknown, np.int64)
         self.ids[top] = rank[:-1]
         self.counts = counts[by]
-        at = np.searchsorted(self.h, END)
-        self.end = int(self.ids[at]) if at < len(self.h) and self.h[at] == END else self.unknown
+        self.ids, self.c = np.append(self.ids, self.unknown), np.append(self.c, -1)  # of any other word
+        self.logs = np.log10(np.append(self.c[:-1] + 1.0, 1))
+        self.end = int(self.ids[self.find(np.array([END]))[0]])
         self.rare_n = int(counts[-1])
         self.rare_v = max(0, v - len(top))
 
-    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(model ids, counts); the count is -1 where the word is not among the frequent."""
-        if not len(self.h):
-            return np.full(len(tokens), self.unknown), np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.h, tokens), len(self.h) - 1)
-        hit = self.h[at] == tokens
-        return np.where(hit, self.ids[at], self.unknown), np.where(hit, self.c[at], -1)
+    def find(self, tokens: np.ndarray) -> np.ndarray:
+        """Places in ids and c; the last, of count -1, for a word that is not among the frequent."""
+        last = len(self.h)
+        if not last:
+            return np.zeros(len(tokens), np.int32)
+        of = (tokens.view(np.uint64) >> self.shift).view(np.int64)
+        at = np.minimum(self.bucket[of], last - 1)
+        left = np.flatnonzero(self.h[at] != tokens)
+        while len(left):
+            to = at[left] + 1
+            more = to < self.bucket[of[left] + 1]
+            at[left[~more]] = last
+            left, to = left[more], to[more]
+            at[left] = to
+            left = left[self.h[to] != tokens[left]]
+        return at
 
 
 def _trainer(vocabulary: Vocabulary, shape: gru.Params, passes: int, rows: int, rate: float):
@@ -90,7 +109,7 @@ def _trainer(vocabulary: Vocabulary, shape: gru.Params, passes: int, rows: int,
         for batch in batches:
             for i, _, buf, offsets in slices(batch.column(0), 8 << 20):
                 tokens, first = _tokens(buf, offsets)
-                ids, _ = vocabulary.find(tokens)
+                ids = vocabulary.ids[vocabulary.find(tokens)]
                 docs = [ids[a:b] for a, b in zip(first[:-1], first[1:])]
                 n += sum(map(len, docs))
                 for _ in range(passes):
@@ -177,16 +196,17 @@ def score(docs: DataFrame, frequent: int = 100_000, modelled: int = 3000, n_clas
         for batch in batches:
             for i, j, buf, offsets in slices(batch.column(1), 8 << 20):
                 tokens, first = _tokens(buf, offsets)
-                ids, c = vocabulary.find(tokens)
+                at = vocabulary.find(tokens)
+                ids, logs = vocabulary.ids[at], vocabulary.logs[at]
                 rows = j - i
                 of = np.repeat(np.arange(rows), np.diff(first))
-                near = c >= 0
-                base = np.bincount(of[near], np.log10(c[near] + 1.0), rows) - np.diff(first) * floor
+                near = vocabulary.c[at] >= 0
+                base = np.bincount(of, logs, rows) - np.diff(first) * floor
                 known = np.bincount(of[near], minlength=rows)
                 ll = gru.log_likelihoods(p, vocabulary.bounds, [ids[a:b] for a, b in zip(first[:-1], first[1:])], vocabulary.end) / np.log(10)
                 odd = ids == vocabulary.unknown
                 ll -= np.bincount(of[odd], minlength=rows) * rare_floor
-                ll += np.bincount(of[odd & near], np.log10(c[odd & near] + 1.0), rows)
+                ll += np.bincount(of[odd], logs[odd], rows)
                 far, where = tokens[~near], of[~near]
                 order = np.lexsort((far, where))
                 far, where = far[order], where[order]

@@ -9,11 +9,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from keyfold.llm import bwt, fingerprint, gru, language_model, mixing, near_dedup, packing, quality_rules, secrets, substring_dedup, token_file, tokens, toxicity
 from keyfold.llm._tables import Scratch
+from keyfold.llm._text import slices
 from keyfold.llm.queries import oracle_sql, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -360,6 +362,46 @@ def test_streams_hold_every_token_once():
     assert collections.Counter(seen) == collections.Counter(want)
 
 
+def test_scoring_takes_whole_documents_in_few_full_windows():
+    """One long document among many short ones does not leave windows nearly empty."""
+    p, bounds = small_model()
+    g = np.random.default_rng(5)
+    docs = [g.integers(0, 6, int(n)) for n in [900, *g.integers(0, 60, 300)]]
+    windows = list(gru._windows(docs, 64, 8, 0))
+    tokens, cells = sum(map(len, docs)), sum(x.size for x, *_ in windows)
+    assert cells < 1.1 * tokens and len(windows) <= math.ceil(tokens / (64 * 8)) + 1
+    seen = [list(zip(*(a.ravel()[ok.ravel()].tolist() for a in (of, x, y, fresh)))) for x, y, fresh, of, ok in windows]
+    want = [(i, d[k - 1] if k else 0, d[k], k == 0) for i, d in enumerate(docs) for k in range(len(d))]
+    assert collections.Counter(x for part in seen for x in part) == collections.Counter(want)
+    alone = [gru.log_likelihoods(p, bounds, [d], 0, size=1000)[0] for d in docs]
+    for rows, size in ((1, 3), (4, 3), (64, 8), (512, 32)):
+        assert np.allclose(gru.log_likelihoods(p, bounds, docs, 0, rows=rows, size=size), alone, rtol=1e-4, atol=1e-4)
+
+
+def test_words_are_found_by_the_first_bits_of_their_hashes():
+    g = np.random.default_rng(6)
+    for n in (0, 1, 2, 700):
+        h = np.unique(np.concatenate([g.integers(-(2**63), 2**63 - 1, n // 2), (5 << 50) + g.integers(0, 1 << 20, n - n // 2)])).astype(np.int64)
+        c = g.integers(1, 9, len(h))
+        vocabulary = language_model.Vocabulary(h, c, 20, int(c.sum()), len(h), 4)
+        tokens = np.concatenate([g.permutation(h), g.integers(-(2**63), 2**63 - 1, 300), (5 << 50) + g.integers(0, 1 << 20, 300)]).astype(np.int64)
+        have = dict(zip(h.tolist(), c.tolist()))
+        at = vocabulary.find(tokens)
+        assert vocabulary.c[at].tolist() == [have.get(t, -1) for t in tokens.tolist()]
+        assert all(vocabulary.ids[at][vocabulary.c[at] < 0] == vocabulary.unknown)
+
+
+def test_tokens_of_long_and_empty_rows():
+    """Rows are cut into words some at a time; a row beyond that size stays whole."""
+    texts = ["", "one Two  three", "x" * 700_000 + " Y", "", *["a b\tc"] * 300_000, "the end "]
+    for _, _, buf, offsets in slices(pa.array(texts), 1 << 30):
+        tokens, first = language_model._tokens(buf, offsets)
+    assert np.diff(first).tolist() == [len(t.split()) + 1 for t in texts]
+    whole = {w: tokens[first[i] + k] for i, t in enumerate(texts[:5]) for k, w in enumerate(t.lower().split())}
+    assert all(tokens[first[-2] - 4 : first[-2]] == [whole["a"], whole["b"], whole["c"], language_model.END])
+    assert (tokens == language_model.END).sum() == len(texts) and len(set(whole.values())) == len(whole)
+
+
 def test_fingerprints(docs, texts):
     out = fingerprint.fingerprint_edits(docs, buckets=5).collect()
     place = {r.t: r.h for r in docs.selectExpr("coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()}
